@@ -1,0 +1,124 @@
+"""Sharding, secret scans and license scans against brute force."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+from fixtures import folder, rows
+
+from quarrylight.llm import licenses, queries, secrets
+
+SMALL = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module", params=["awkward", "empty", "small"])
+def case(request, spark, tmp_path_factory):
+    if request.param == "small":
+        return SMALL, [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    data = rows() if request.param == "awkward" else []
+    return folder(spark, tmp_path_factory.mktemp(request.param), data), [r[:2] for r in data]
+
+
+def test_shards(spark, case):
+    sf_dir, data = case
+    got = queries.queries()["op1_byte_shards"](spark, sf_dir).collect()
+    key = lambda i, t: (i is not None, i, zlib.crc32((t or "").encode()), len((t or "").encode()) + 1)
+    assert sorted((r.doc_id is not None, r.doc_id, r.text_crc32, r.size) for r in got) == sorted(key(*r) for r in data)
+    sizes, slots = defaultdict(int), defaultdict(list)
+    for r in got:
+        sizes[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+        assert r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < 8
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    if data:
+        target, most = sum(sizes.values()) / 8, max(r.size for r in got)
+        assert all(abs(sizes.get(s, 0) - target) <= most for s in range(8))
+    ordered = sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text_crc32))
+    assert [r.shard for r in ordered] == sorted(r.shard for r in ordered)
+
+
+def base_spans(t):
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 12]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+    return sorted(found)
+
+
+def entropy_spans(t):
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", t):
+        v = m[0]
+        if any(re.search(a, v) for a in secrets.ALLOW):
+            continue
+        for _, form, w, least in secrets.CLASSES:
+            if re.search(form, v):
+                high = []
+                for i in range(len(v) - w + 1):
+                    h = -sum(c / w * math.log2(c / w) for c in Counter(v[i : i + w]).values())
+                    if h >= least - 1e-12:
+                        high.append(i)
+                if high:
+                    out.append((m.start() + high[0], 3, m.start() + high[-1] + w))
+                break
+    return out
+
+
+def test_secrets(spark, case):
+    sf_dir, data = case
+    names = secrets.KINDS
+    want = []
+    for i, t in data:
+        base = base_spans(t or "")
+        more = [x for x in entropy_spans(t or "") if not any(b[0] < x[2] and x[0] < b[2] for b in base)]
+        say = lambda xs: ",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(xs))
+        n = Counter(k for _, k, _ in base)
+        want.append((i, n[0], n[1], n[2], hashlib.sha256(say(base).encode()).hexdigest(), say(base + more)))
+    got = [tuple(r) for r in queries.queries()["op6_secret_scan"](spark, sf_dir).collect()]
+    order = lambda r: (r[0] is not None, r[0] or 0, r[5])
+    assert sorted(got, key=order) == sorted(want, key=order)
+
+
+def test_entropy_finds_and_allows(spark):
+    data = [(1, "Zx8Qm2Lp0Vt7Rk4Ws9Yb3Nc6Hd1"), (2, "123e4567-e89b-12d3-a456-426614174000"), (3, "tionononthhetionononthhe"), (4, "0" * 40)]
+    got = secrets.secret_spans(spark.createDataFrame(data, "doc_id long, text string")).select("doc_id", secrets.described(secrets.F.col("spans"))).collect()
+    assert {r[0]: r[1] for r in got} == {1: "entropy:0:27", 2: "", 3: "", 4: "hex:0:40"}
+
+
+def test_redaction(spark):
+    df = spark.createDataFrame([("a password=abcdefabcdef0123456789 b",), ("clean",), (None,)], "text string")
+    found = secrets.secret_spans(df)
+    got = [r[0] for r in found.select(secrets.redacted(found.text, found.spans)).collect()]
+    assert got == ["a [SECRET] b", "clean", None]
+
+
+def words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def template_labels(t):
+    out = {}
+    for block in {*re.split(r"\r?\n", t or ""), *re.split(r"\r?\n[ \t]*\r?\n", t or "")}:
+        have = set(words(block))
+        for label, notice, need in licenses.TEMPLATES:
+            ts = set(notice.split())
+            if len(have & ts) >= math.ceil(0.8 * len(ts) - 1e-9) and set(need.split()) <= have:
+                out[label] = max(out.get(label, 0), len(have & ts) / len(ts))
+    return out
+
+
+def test_licenses(spark, case):
+    sf_dir, data = case
+    want = []
+    for i, t in data:
+        w = words(t)
+        places = [(k, label) for p, label in licenses.PHRASES for n in [len(p.split())] for k in range(len(w)) if w[k : k + n] == p.split()]
+        own = template_labels(t)
+        base = {x for _, x in places}
+        at = [k for k, _ in places]
+        want.append((i, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | set(own))), 1.0 if at else max(own.values(), default=0.0)))
+    got = [tuple(r) for r in queries.queries()["op9_license_scan"](spark, sf_dir).collect()]
+    order = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(got, key=order) == sorted(want, key=order)
