@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.session import prepare, table
 
-from . import bpe, licenses, packing, secrets, sharding
+from . import ann, bpe, licenses, packing, secrets, sharding, topk
 
 
 def op1_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
@@ -73,7 +81,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_QUERIES = [op1_byte_shards, op3_best_fit_packing, op6_secret_scan, op7_byte_bpe, op9_license_scan]
+_QUERIES = [op1_byte_shards, op3_best_fit_packing, op5_exact_top_k, op6_secret_scan, op7_byte_bpe, op8_nearest_neighbours, op9_license_scan]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -88,4 +96,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_exact_top_k": """
+            WITH v AS (
+                SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+                FROM embeddings
+                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                  AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))
+            ), s AS (
+                SELECT q.vec_id AS query_id, c.vec_id,
+                       CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+                FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+                WHERE q.vec_id % 20 = 0
+            )
+            SELECT query_id,
+                   CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                   vec_id, score
+            FROM s QUALIFY rank <= 20""",
+    }
