@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.session import prepare, table
 
-from . import ann, bpe, licenses, packing, secrets, sharding, topk
+from . import ann, bpe, licenses, packing, quality, secrets, sharding, topk, url_filters
 
 
 def op1_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,19 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
+def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filters.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return found.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "template", F.col("score").alias("purity"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality.fitted_and_scored(docs, labels).select(
+        F.col("id").alias("doc_id"), "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
 
@@ -81,7 +94,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_QUERIES = [op1_byte_shards, op3_best_fit_packing, op5_exact_top_k, op6_secret_scan, op7_byte_bpe, op8_nearest_neighbours, op9_license_scan]
+_QUERIES = [op1_byte_shards, op3_best_fit_packing, op4_url_templates, op5_exact_top_k, op6_secret_scan, op7_byte_bpe, op8_nearest_neighbours, op9_license_scan, op10_quality_classifier]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
