@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.session import prepare, table
 
-from . import ann, bpe, licenses, packing, quality, secrets, sharding, topk, url_filters
+from . import ann, bpe, licenses, ngram_join, packing, quality, secrets, sharding, topk, url_filters
 
 
 def op1_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.classes(table(spark, sf_dir, "documents"), k=4, percent=85)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "links")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
@@ -94,7 +99,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_QUERIES = [op1_byte_shards, op3_best_fit_packing, op4_url_templates, op5_exact_top_k, op6_secret_scan, op7_byte_bpe, op8_nearest_neighbours, op9_license_scan, op10_quality_classifier]
+_QUERIES = [op1_byte_shards, op2_ngram_join, op3_best_fit_packing, op4_url_templates, op5_exact_top_k, op6_secret_scan, op7_byte_bpe, op8_nearest_neighbours, op9_license_scan, op10_quality_classifier]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
