@@ -117,13 +117,13 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_exact_top_k": """
             WITH v AS (
-                SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+                SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
                 FROM embeddings
                 WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-                  AND list_bool_and(list_transform(embedding, x -> x IS NOT NULL AND isfinite(x)))
+                  AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
             ), s AS (
                 SELECT q.vec_id AS query_id, c.vec_id,
-                       CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score
+                       CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
                 FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
                 WHERE q.vec_id % 20 = 0
             )
