@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -70,52 +71,70 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple, int]]:
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """The larger of the byte bound and the bound that sets items over half apart."""
-    total = sum(k * n for k, n in counts.items())
-    best = -(-total // capacity)
-    for small in sorted({0, *(k for k in counts if 2 * k <= capacity)}):
-        large = sum(n for k, n in counts.items() if k > capacity - small)
-        mid = {k: n for k, n in counts.items() if capacity - small >= k and 2 * k > capacity}
-        rest = sum(k * n for k, n in counts.items() if small <= k and 2 * k <= capacity)
-        room = sum((capacity - k) * n for k, n in mid.items())
-        best = max(best, large + sum(mid.values()) + max(0, -(-(rest - room) // capacity)))
-    return best
-
-
-def fillings(sizes: list[int], counts: dict[int, int], room: int, width: int, steps: int) -> list[tuple]:
+    """The larger of the size bound and the bounds that set items over half apart, for every cut between small and not."""
+    if not counts:
+        return 0
+    sizes = np.array(sorted(counts), np.int64)
+    n = np.array([counts[k] for k in sizes.tolist()], np.int64)
+    items, volume = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * sizes)])
+    half = np.searchsorted(sizes, capacity // 2, side="right")
+    cuts = np.concatenate([[0], sizes[:half]])
+    top = np.searchsorted(sizes, capacity - cuts, side="right")  # from here on nothing fits beside
+    top = np.maximum(top, half)
+    low = np.searchsorted(sizes, cuts, side="left")
+    room = capacity * (items[top] - items[half]) - (volume[top] - volume[half])
+    rest = volume[half] - volume[low]
+    bounds = items[-1] - items[half] + np.maximum(0, -(-(rest - room) // capacity))
+    return int(max(bounds.max(), -(-volume[-1] // capacity)))
+
+
+def fillings(sizes: list[int], counts: dict[int, int], room: int, width: int) -> list[tuple]:
     """Undominated fillings of ``room``, least waste first, at most ``width`` of them.
 
     A filling to which another item could be added is dominated by the filling with it; of
-    fillings with equal sums the one of fewer, larger items dominates.
+    fillings with equal sums the one of fewer, larger items dominates.  ``sizes`` descend.
     """
-    found: dict[int, tuple] = {}
-    spent = 0
-
-    def walk(at: int, left: int, chosen: tuple):
-        nonlocal spent
-        spent += 1
-        if spent > steps or (0 in found and len(found) >= width):
-            return
-        k = at
-        while k < len(sizes) and sizes[k] > left:
-            k += 1
-        if k == len(sizes):
-            have = found.get(left)
-            if have is None or sum(c for _, c in have) > sum(c for _, c in chosen):
-                found[left] = chosen
-            return
-        for j in range(k, len(sizes)):
-            most = min(counts[sizes[j]], left // sizes[j])
-            for c in range(most, 0, -1):
-                walk(j + 1, left - c * sizes[j], (*chosen, (sizes[j], c)))
-                if spent > steps or (0 in found and len(found) >= width):
-                    return
-
-    walk(0, room, ())
-    return [found[w] for w in sorted(found)[:width]] or [()]
-
-
-def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 4000, width: int = 3, steps: int = 3000) -> list[tuple[tuple, int]]:
+    exact = []
+    if counts.get(room):
+        exact.append(((room, 1),))
+    for a in sizes[bisect_left(sizes, -room, key=lambda v: -v) :]:
+        b = room - a
+        if b > a or len(exact) >= width:
+            break
+        if b and counts.get(b, 0) >= 1 + (a == b):
+            exact.append(((a, 1), (b, 1)) if a != b else ((a, 2),))
+    if exact:
+        return exact
+    # Reachable sums as bits of an integer, after each size from the smallest on.
+    usable = sizes[bisect_left(sizes, -room, key=lambda v: -v) :][::-1]
+    mask, reach = (1 << (room + 1)) - 1, [1]
+    for v in usable:
+        bits, left, step = reach[-1], min(counts[v], room // v), 1
+        while left:
+            k = min(step, left)
+            bits |= (bits << (k * v)) & mask
+            left -= k
+            step *= 2
+        reach.append(bits)
+    found, sums = [], reach[-1]
+    while sums and len(found) < width:
+        target = sums.bit_length() - 1
+        sums ^= 1 << target
+        chosen = []
+        for k in range(len(usable) - 1, -1, -1):  # the largest items that still reach the sum
+            if not target:
+                break
+            v = usable[k]
+            for c in range(min(counts[v], target // v), 0, -1):
+                if reach[k] >> (target - c * v) & 1:
+                    chosen.append((v, c))
+                    target -= c * v
+                    break
+        found.append(tuple(chosen))
+    return found
+
+
+def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 20_000, width: int = 3) -> list[tuple[tuple, int]]:
     """Patterns with multiplicities that hold every item of the histogram."""
     counts = {k: n for k, n in counts.items() if n}
     best = best_fit(counts, capacity)
@@ -132,13 +151,13 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 4000, wi
             if used < bins:
                 bins, best = used, list(chosen)
             continue
-        if used + lower_bound(left, capacity) >= bins or waste > (bins - 1) * capacity - total:
-            continue
+        if waste > (bins - 1) * capacity - total:
+            continue  # even without further waste this takes as many bins as the incumbent
         sizes = sorted(left, reverse=True)
         top = sizes[0]
         options = []
         usable = {**left, top: left[top] - 1}
-        for f in fillings([s for s in sizes if usable[s]], usable, capacity - top, width, steps):
+        for f in fillings([s for s in sizes if usable[s]], usable, capacity - top, width):
             uses = dict(f)
             uses[top] = uses.get(top, 0) + 1
             times = min(left[k] // c for k, c in uses.items())
