@@ -13,6 +13,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORDS = r"[a-z][a-z0-9_]*|[0-9]+(?:\.[0-9]+)?"
 CJK = r"[\x{3400}-\x{9fff}]+"
@@ -55,7 +56,7 @@ def normalized(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(out, "­", ""), r"[\s\x{a0}]+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded(text: pd.Series) -> pd.Series:
     """The identity key with full compatibility composition and case folding (ß is ss, full-width is ASCII)."""
 
