@@ -62,14 +62,23 @@ def contradictions(pairs: DataFrame, claims: DataFrame, key: str, text: str) ->
     return both.where((F.size("n_a") > 0) & (F.size("n_b") > 0) & (F.col("n_a") != F.col("n_b"))).drop("n_a", "n_b")
 
 
-def best_overlap(claims: DataFrame, sources: DataFrame, claim_key: str, claim_terms: str, source_key: str, sentence: str, terms: str, at: str, prefilter: int = 1) -> DataFrame:
-    """Per (claim, source) that share terms: the sentence that covers most of the claim's terms, the first of equals.
+def best_overlap(claims: DataFrame, sources: DataFrame, claim_key: str, claim_terms: str, source_key: str, sentence_terms: str, at: str, least: float, prefilter: int = 1) -> DataFrame:
+    """Per (claim, source): the sentence that covers most of the claim's terms, at least ``least`` of them; the first of equals.
 
-    An equi-join on terms finds the sentences, so only pairs that share one are made.
+    A sentence that covers ``o = ceil(least * n)`` of a claim's n terms holds one of the claim's
+    ``n - o + 1`` rarest, so sentences are found by an equi-join on these alone; frequent terms make no pairs.
     """
-    c = claims.select(claim_key, F.size(claim_terms).alias("_n"), F.explode(claim_terms).alias("term"))
-    s = sources.select(source_key, at, F.explode(terms).alias("term"))
-    hits = c.join(s, "term").groupBy(claim_key, source_key, at, "_n").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= prefilter)
+    counts = sources.select(F.explode(sentence_terms).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("_f"))
+    mine = claims.select(claim_key, F.size(claim_terms).alias("_n"), F.explode(claim_terms).alias("term")).join(counts, "term")
+    w = Window.partitionBy(claim_key).orderBy("_f", "term")
+    absent = F.col("_n") - F.count(F.lit(1)).over(Window.partitionBy(claim_key))  # terms in no sentence come first in the order
+    rank = F.row_number().over(w) + absent
+    rare = mine.withColumn("_r", rank).where(F.col("_r") <= F.col("_n") - F.ceil(F.col("_n") * least - 1e-9) + 1).select(claim_key, "term")
+    posted = sources.select(source_key, at, F.col(sentence_terms).alias("_s"), F.explode(sentence_terms).alias("term"))
+    pairs = posted.join(rare, "term").select(claim_key, source_key, at, "_s").dropDuplicates([claim_key, source_key, at])
+    both = pairs.join(claims.select(claim_key, F.col(claim_terms).alias("_c")), claim_key)
+    shared = F.size(F.array_intersect("_s", "_c"))
+    hits = both.select(claim_key, source_key, at, shared.alias("shared"), F.size("_c").alias("_n")).where((F.col("shared") >= prefilter) & (F.col("shared") >= F.col("_n") * least - 1e-9))
     best = hits.groupBy(claim_key, source_key, "_n").agg(F.max(F.struct(F.col("shared"), (-F.col(at)).alias("m"))).alias("b"))
     return best.select(claim_key, source_key, (-F.col("b.m")).alias(at), F.round(F.col("b.shared") / F.col("_n"), 6).alias("overlap"))
 

@@ -51,12 +51,12 @@ def _source_sentences(s, d):
 
 
 def best_overlap(s, d):
-    b = C.best_overlap(_benchmark_claims(s, d), _source_sentences(s, d), "claim_id", "c_terms", "doc_id", "sentence", "s_terms", "at", 4)
-    return b.where("overlap >= 0.5")
+    return C.best_overlap(_benchmark_claims(s, d), _source_sentences(s, d), "claim_id", "c_terms", "doc_id", "s_terms", "at", 0.5, 4)
 
 
 def entailment(s, d):
-    return best_overlap(s, d).where(F.col("overlap") >= C.ENTAIL_LEAST).groupBy("claim_id").agg(F.count(F.lit(1)).alias("supporting"), F.min("doc_id").alias("first_doc"))
+    b = C.best_overlap(_benchmark_claims(s, d), _source_sentences(s, d), "claim_id", "c_terms", "doc_id", "s_terms", "at", C.ENTAIL_LEAST, 4)
+    return b.groupBy("claim_id").agg(F.count(F.lit(1)).alias("supporting"), F.min("doc_id").alias("first_doc"))
 
 
 def _citations(s, d):
