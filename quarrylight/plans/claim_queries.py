@@ -261,7 +261,7 @@ ORACLES = {
  SELECT n.n_nationkey, y.year, coalesce(n, 0) AS witnesses, n IS NULL AS missing FROM nation n CROSS JOIN y LEFT JOIN w ON w.n_nationkey = n.n_nationkey AND w.year = y.year""".replace("coalesce(n, 0)", "coalesce(w.n, 0)").replace("n IS NULL", "w.n IS NULL"),
     "comparison_matrix": """SELECT l_returnflag, coalesce(string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ' / ' ORDER BY CAST(l_linenumber AS VARCHAR)) FILTER (WHERE l_linestatus = 'F'), '') AS f_lines,
  coalesce(string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ' / ' ORDER BY CAST(l_linenumber AS VARCHAR)) FILTER (WHERE l_linestatus = 'O'), '') AS o_lines FROM lineitem WHERE l_quantity >= 49 GROUP BY l_returnflag""",
-    "growth_by_nation": f"WITH {_YEARLY} SELECT b.nation, b.year, round((CAST(b.value AS DOUBLE) / CAST(a.value AS DOUBLE) - 1) * 100, 4) AS growth_pct FROM y a JOIN y b ON a.nation = b.nation AND b.year = a.year + 1 WHERE a.value > 0",
+    "growth_by_nation": f"WITH {_YEARLY} SELECT b.nation, b.year, round(round_even((CAST(b.value AS DOUBLE) / CAST(a.value AS DOUBLE) - 1) * 100, 6), 4) AS growth_pct FROM y a JOIN y b ON a.nation = b.nation AND b.year = a.year + 1 WHERE a.value > 0",
     "cagr_by_nation": f"WITH {_YEARLY} SELECT nation, CAST(max(year) - min(year) AS INTEGER) AS years, round((pow(CAST(arg_max(value, year) AS DOUBLE) / CAST(arg_min(value, year) AS DOUBLE), 1.0 / (max(year) - min(year))) - 1) * 100, 4) AS cagr_pct FROM y GROUP BY nation HAVING max(year) > min(year)",
     "share_of_region": f"WITH {_SHARE} SELECT nation, year, share_pct FROM sh",
     "point_change": f"WITH {_SHARE} SELECT b.nation, b.year, round(b.share_pct - a.share_pct, 3) AS change_pp FROM sh a JOIN sh b ON a.nation = b.nation AND b.year = a.year + 1",
