@@ -32,7 +32,11 @@ def local_session(name: str, cores: str = "8", shuffle_partitions: int = 8) -> S
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package when the caller set only ``sys.path``."""
+    """Let Python workers import this package when the caller set only ``sys.path``, and keep their batches small.
+
+    Rows hold whole texts or sets of shingles, so a worker's memory follows the rows of a batch.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if REPO_ROOT not in paths:
