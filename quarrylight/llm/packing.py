@@ -142,17 +142,25 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 20_000,
         return best
     least, total = lower_bound(counts, capacity), sum(k * n for k, n in counts.items())
     bins, visited = sum(n for _, n in best), 0
-    # A depth-first search with an explicit stack: (counts left, patterns, bins, waste).
-    stack = [(counts, (), 0, 0)]
+    # A depth-first search with an explicit stack of (path, bins, waste); a path is a linked list, and the
+    # counts left are rebuilt from it where the search goes back, so memory follows the depth alone.
+    stack, at, left = [(None, 0, 0)], None, dict(counts)
     while stack and bins > least and visited < nodes:
-        left, chosen, used, waste = stack.pop()
+        path, used, waste = stack.pop()
         visited += 1
+        if waste > (bins - 1) * capacity - total:
+            continue  # even without further waste this takes as many bins as the incumbent
+        if path is not None and path[0] is at:
+            _take(left, *path[1])
+        elif path is not at:
+            left = dict(counts)
+            for pattern, times in _steps(path):
+                _take(left, pattern, times)
+        at = path
         if not left:
             if used < bins:
-                bins, best = used, list(chosen)
+                bins, best = used, list(_steps(path))
             continue
-        if waste > (bins - 1) * capacity - total:
-            continue  # even without further waste this takes as many bins as the incumbent
         sizes = sorted(left, reverse=True)
         top = sizes[0]
         options = []
@@ -161,13 +169,27 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 20_000,
             uses = dict(f)
             uses[top] = uses.get(top, 0) + 1
             times = min(left[k] // c for k, c in uses.items())
-            after = {k: n for k in left if (n := left[k] - times * uses.get(k, 0))}
             spare = capacity - sum(k * c for k, c in uses.items())
-            options.append((after, (*chosen, (tuple(uses.items()), times)), used + times, waste + times * spare))
+            options.append(((path, (tuple(uses.items()), times)), used + times, waste + times * spare))
         stack += reversed(options)  # the least waste is tried first
     return best
 
 
+def _take(left: dict[int, int], pattern: tuple, times: int) -> None:
+    for k, c in pattern:
+        left[k] -= c * times
+        if not left[k]:
+            del left[k]
+
+
+def _steps(path) -> list[tuple]:
+    out = []
+    while path is not None:
+        path, step = path
+        out.append(step)
+    return out[::-1]
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
     """The byte-level BPE in a ``tokenizers`` JSON file, run by the tiktoken library: the same ids, four times as fast."""
