@@ -40,6 +40,68 @@ def budget_fold(sizes: Column, budget: int) -> Column:
     return F.aggregate(sizes, start, step, lambda acc: acc["took"])
 
 
+def budget_walk(rows: DataFrame, part: str, order: str, size: str, budget: int) -> DataFrame:
+    """Per part, the places (from 0) that a greedy walk takes: whole rows while they fit; a later, smaller one may still be taken.
+
+    Rows stand in contiguous ranges of (part, order, size).  After a row of n units that the most room ``m`` would hold, no walk
+    has more room than ``max(n - 1, m - n)``, whatever was taken before, so a range passes on only the rows within that bound
+    and how many rows it has of each part; the walk then goes over these alone.  Both passes hold a few numbers, besides the places.
+    """
+    import pyarrow as pa
+
+    keys = [F.col(part).alias("part"), F.col(order).alias("ord"), F.col(size).cast("long").alias("n")]
+    ranges = rows.select(*keys).repartitionByRange("part", "ord", "n").sortWithinPartitions("part", "ord", "n")
+    kind, by = rows.schema[part].dataType.simpleString(), rows.schema[order].dataType.simpleString()
+
+    def within(batches):
+        now, last, at, room = None, None, 0, budget
+        for batch in batches:
+            out = []
+            for p, o, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (p,):
+                    if now:
+                        out.append((*now, *last, True, at))
+                    now, at, room = (p,), 0, budget
+                if n is not None and n <= room:
+                    out.append((p, o, n, False, at))
+                    room = max(n - 1, room - n)
+                last, at = (o, n), at + 1
+            yield made(batch, out)
+        if now:
+            yield made(batch, [(*now, *last, True, at)])
+
+    def made(batch, out):
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        types = [*batch.schema.types[:3], pa.bool_(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["part", "ord", "n", "total", "at"])
+
+    def walk(batches):
+        now, before, used, took = None, 0, 0, []
+        for batch in batches:
+            out = []
+            for p, _, n, total, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (p,):
+                    if now:
+                        out.append((*now, took))
+                    now, before, used, took = (p,), 0, 0, []
+                if total:
+                    before += at
+                elif used + n <= budget:
+                    used += n
+                    took.append(before + at)
+            yield ended(batch, out)
+        if now:
+            yield ended(batch, [(*now, took)])
+
+    def ended(batch, out):
+        columns = list(zip(*out, strict=True)) or [()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], batch.schema.types[0]), pa.array(columns[1], pa.list_(pa.int64()))], ["part", "took"])
+
+    left = ranges.mapInArrow(within, f"part {kind}, ord {by}, n long, total boolean, at long")
+    left = left.repartition("part").sortWithinPartitions("part", "ord", "n", "total", "at")
+    return left.mapInArrow(walk, f"part {kind}, took array<long>").withColumnRenamed("part", part)
+
+
 def joined_within(parts: Column, budget: int, separator: str = "\n") -> Column:
     """Parts joined until the budget of characters is used; the last one is cut."""
     return F.substring(F.array_join(parts, separator), 1, budget)

@@ -25,9 +25,8 @@ def tier_cap(s, d):
 
 
 def budget_fold(s, d):
-    g = T(s, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.length("text").cast("long").alias("n")))).alias("rows"))
-    took = W.budget_fold(F.transform(F.slice("rows", 1, 60), lambda r: r["n"]), 20000)
-    return g.select("source", F.array_join(took.cast("array<string>"), ",").alias("taken"))
+    took = W.budget_walk(T(s, d, "documents").select("source", "doc_id", F.length("text").alias("n")), "source", "doc_id", "n", 20000)
+    return took.select("source", F.array_join(F.col("took").cast("array<string>"), ",").alias("taken"))
 
 
 def conversation_recent(s, d):
