@@ -136,7 +136,7 @@ def coverage_missing(s, d):
 
 
 def comparison_matrix(s, d):
-    m = C.matrix(T(s, d, "lineitem").where("l_quantity >= 49"), ["l_returnflag"], "l_linestatus", ["F", "O"], "l_linenumber")
+    m = C.matrix(T(s, d, "lineitem"), ["l_returnflag"], "l_linestatus", ["F", "O"], "l_linenumber")
     return m.select("l_returnflag", F.col("F").alias("f_lines"), F.col("O").alias("o_lines"))
 
 
@@ -189,8 +189,21 @@ def decimal_sums(s, d):
     return T(s, d, "lineitem").groupBy("l_returnflag").agg(F.sum(_dec("l_extendedprice")).cast("double").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
+def _metrics(s, d):
+    return T(s, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("geography"), F.when(F.col("s_suppkey") % 3 == 0, None).otherwise(F.col("s_suppkey") % 2).alias("scope"), (F.col("s_suppkey") % 5).alias("unit"))
+
+
+def comparability_classes(s, d):
+    found, _ = U.comparability_classes(_metrics(s, d), "s_suppkey", ("geography", "scope", "unit"), "geography")
+    return found.withColumn("reasons", F.array_join("reasons", ","))
+
+
+def comparability_members(s, d):
+    return U.comparability_classes(_metrics(s, d), "s_suppkey", ("geography", "scope", "unit"), "geography")[1]
+
+
 def comparability_pairs(s, d):
-    m = T(s, d, "supplier").where("s_suppkey <= 60").select("s_suppkey", F.col("s_nationkey").alias("geography"), F.when(F.col("s_suppkey") % 3 == 0, None).otherwise(F.col("s_suppkey") % 2).alias("scope"), (F.col("s_suppkey") % 5).alias("unit"))
+    m = _metrics(s, d).where("s_suppkey <= 60")  # a sample, as in its SQL; the two above are over all
     pair = m.alias("a").join(m.alias("b"), (F.col("a.geography") == F.col("b.geography")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey")))
     return pair.select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"), F.array_join(U.comparison_reasons("a", "b", ("geography", "scope", "unit")), ",").alias("reasons"))
 
@@ -202,14 +215,14 @@ def replay_violations(s, d):
 
 
 def dense_claim_ids(s, d):
-    return C.dense_ids(T(s, d, "benchmark").select("item_id", F.length("text").alias("n")).where("item_id < 200"), "c", ["n", "item_id"], ["n"]).select("item_id", "dense_id")
+    return C.dense_ids(T(s, d, "benchmark").select("item_id", F.length("text").alias("n")), "c", ["n", "item_id"], ["n"]).select("item_id", "dense_id")
 
 
 QUERIES = [
     claim_extract, claim_merge, conflict_pairs, contradictions, best_overlap, entailment, citation_integrity, citation_rates, page_of_offset, span_in_row,
     corroboration_counts, publication_status, status_counts, confidence_tiers, alignment_clusters, section_buckets, coverage_missing, comparison_matrix,
-    growth_by_nation, cagr_by_nation, share_of_region, point_change, hierarchy_check, share_total, unit_conversion, decimal_sums, comparability_pairs,
-    replay_violations, dense_claim_ids,
+    growth_by_nation, cagr_by_nation, share_of_region, point_change, hierarchy_check, share_total, unit_conversion, decimal_sums, comparability_pairs, comparability_classes,
+    comparability_members, replay_violations, dense_claim_ids,
 ]
 
 from quarrylight.plans.text_queries import _NUMS, _SENT  # noqa: E402

@@ -147,7 +147,11 @@ def writing_length(s, d):
     return T(s, d, "conversations").groupBy("conv_id").agg(F.sum(X.writing_length(F.col("text"))).alias("length"))
 
 
-def research_angles(s, d):
+def research_queries(s, d):
+    return T(s, d, "part").select("p_partkey", F.explode(X.research_queries(F.col("p_name"))).alias("query"))
+
+
+def research_angles(s, d):  # a sample, as in its SQL; research_queries is over all
     return T(s, d, "part").where("p_partkey <= 20").select("p_partkey", F.explode(X.research_queries(F.col("p_name"))).alias("query"))
 
 
@@ -172,7 +176,7 @@ def source_merge(s, d):
 QUERIES = [
     host_domains, source_grades, distinct_domains, hit_filter, token_stats, content_terms, sentence_split, passage_split, stems, relevance_density,
     relevance_filter, source_ranking, query_types, slugs, corpus_manifest, manifest_totals, inverted_index_roundtrip, work_identifiers,
-    html_main_text, clean_text, factual_sentences, writing_length, research_angles, number_support, search_cache, source_merge,
+    html_main_text, clean_text, factual_sentences, writing_length, research_angles, research_queries, number_support, search_cache, source_merge,
 ]
 
 _ST = X.topic_stems(TOPIC)

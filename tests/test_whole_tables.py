@@ -1,8 +1,10 @@
 """Operators read all rows of their tables, however many a group has."""
 
 import random
+from collections import Counter
 
 from quarrylight.operators import windows
+from quarrylight.plans import catalogue
 
 
 def walked(rows, budget):
@@ -28,3 +30,37 @@ def test_budget_walk_reads_every_row(spark):
         got = {r.source: r.took for r in windows.budget_walk(df, "source", "doc_id", "n", budget).collect()}
         assert got == walked(rows, budget)
     assert windows.budget_walk(df.where("false"), "source", "doc_id", "n", 9).count() == 0
+
+
+def test_comparability_covers_all_suppliers(spark):
+    d = "/root/testdata/sf0.01"
+    names = catalogue.queries()
+    of = {r.s_suppkey: r["class"] for r in names["comparability_members"](spark, d).collect()}
+    classes = {(r.a, r.b): r for r in names["comparability_classes"](spark, d).collect()}
+    rows = [(r.s_suppkey, r.s_nationkey) for r in spark.read.parquet(f"{d}/supplier.parquet").collect()]
+    assert set(of) == {k for k, _ in rows} and max(of) > 60
+    seen = Counter()
+    for k, g in rows:
+        for j, h in rows:
+            if g == h and k < j:
+                pair = tuple(sorted((of[k], of[j])))
+                scope = "missing_scope" if k % 3 == 0 or j % 3 == 0 else "different_scope" if k % 2 != j % 2 else ""
+                assert classes[pair].reasons == ",".join(filter(None, [scope, "different_unit" if k % 5 != j % 5 else ""]))
+                seen[pair] += 1
+    assert seen == Counter({k: r.pairs for k, r in classes.items() if r.pairs})
+
+
+def test_ids_and_matrix_have_no_filters(spark, tmp_path):
+    spark.createDataFrame([(i, "same") for i in range(300)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([("A", "F", 3, 10.0), ("A", "F", 5, 50.0)], "l_returnflag string, l_linestatus string, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    names = catalogue.queries()
+    assert {r.item_id: r.dense_id for r in names["dense_claim_ids"](spark, tmp_path).collect()} == {i: f"c{i + 1}" for i in range(300)}
+    assert [tuple(r) for r in names["comparison_matrix"](spark, tmp_path).collect()] == [("A", "3 / 5", "")]
+
+
+def test_research_queries_cover_all_parts(spark):
+    d = "/root/testdata/sf0.001"
+    got = catalogue.queries()["research_queries"](spark, d)
+    sample = catalogue.queries()["research_angles"](spark, d)
+    assert got.select("p_partkey").distinct().count() == spark.read.parquet(f"{d}/part.parquet").count()
+    assert sample.exceptAll(got).count() == 0
