@@ -9,8 +9,8 @@ Two kinds of findings:
   at a step, which changes the sum of ``c * log2(c)`` by two terms; the window's
   Shannon entropy is ``log2(w) - sum / w``.  Each character class (hexadecimal,
   base-64 like) has its own window width and threshold.  An allow-list drops
-  candidates that are well-known forms of harmless strings, and findings that a
-  fixed pattern reports already are not reported twice.
+  candidates that are well-known forms of harmless strings, and findings that
+  fixed patterns cover from end to end are not reported twice.
 
 Positions come without a UDF: splitting a text at the matches of a pattern gives
 the pieces between them, so the running length of pieces and matches is the
@@ -167,10 +167,10 @@ def secret_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     ).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int>>"))
     base = F.array_sort(F.concat(assign, _bare(_places(text, ACCESS, 1)), _bare(_places(text, HEX, 2))))
     out = docs.withColumn("base_spans", base).withColumn("high_spans", _entropy_spans(text))
-    fresh = F.filter(
-        F.col("high_spans"),
-        lambda x: ~F.exists(F.col("base_spans"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])),
+    covered = lambda x: F.aggregate(  # how far base spans, by their starts, cover x without a gap
+        F.col("base_spans"), x["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at)
     )
+    fresh = F.filter(F.col("high_spans"), lambda x: covered(x) < x["end"])
     return out.withColumn("spans", F.array_sort(F.concat("base_spans", fresh))).drop("high_spans")
 
 
