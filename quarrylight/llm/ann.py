@@ -54,10 +54,11 @@ def tile_search(q_ids, q, ids, x, k):
             about = (q_codes[part] @ codes[cols].T) * q_scale[part][:, None] * scale[cols]
             slack = q_error[part][:, None] * size[cols] + q_rounded[part][:, None] * error[cols]
             slack += 1e-6 * q_size[part][:, None] * size[cols]  # rounding of these sums themselves
-            if len(names) > k + 1:
-                low = about - slack  # the query's own row may be among them, so one more
-                bar = np.maximum(bar, -np.partition(-low, k, axis=1)[:, k])
-            alive = (about + slack >= bar[:, None]) & (names[None, :] != own[:, None])
+            others = names[None, :] != own[:, None]
+            if len(names) > k:
+                low = np.where(others, about - slack, -np.inf)  # a query's own rows, however many, are no candidates
+                bar = np.maximum(bar, -np.partition(-low, k - 1, axis=1)[:, k - 1])
+            alive = (about + slack >= bar[:, None]) & others
             for i in np.flatnonzero(alive.any(axis=1)):
                 left = np.flatnonzero(alive[i])
                 heap = heaps[i]

@@ -6,9 +6,10 @@ task gets one query block and a share of the vector blocks and returns the best
 ``k`` of its share per query; these are merged with heaps per query.  A task's
 memory is bounded by the two block sizes, and nothing is broadcast.
 
-Of rows with equal vectors only the ``k + 1`` smallest ids of a share can be
-among the ``k`` best (equal scores fall to the smaller id, and one of them may be
-the query's own row), so a vector that very many rows share costs no more.
+Of rows with equal vectors only the first ``k`` by id can be among the ``k`` best
+(equal scores fall to the smaller id), besides the query's own rows, of which an
+id may have any number.  What no query needs goes, at most ``2 k`` rows of a vector
+stay, so a vector that very many rows share costs no more.
 
 Rows without an id, and vectors that are null, empty or hold null or non-finite
 components, take no part; vectors of another dimension than the query's cannot
@@ -79,7 +80,7 @@ def _joined(pdf: pd.DataFrame, kind: str):
 
 
 def _distinct_first(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """By ascending id; of equal vectors the first ``k`` alone."""
+    """By ascending id; of equal vectors those alone that are among the first ``k`` once the rows of one other id are left out."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], np.ascontiguousarray(x[order])
     rows = x.view([("", f"V{x.shape[1] * x.itemsize}")]).ravel()
@@ -88,7 +89,13 @@ def _distinct_first(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray,
         return ids, x
     by = np.argsort(group, kind="stable")
     place = np.arange(len(by)) - np.repeat(np.cumsum(n) - n, n)
-    keep = np.sort(by[place < k])
+    g, i = group[by], ids[by]
+    first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (i[1:] != i[:-1])])  # runs of one vector and id
+    length = np.diff(np.r_[first, len(by)])
+    top = g[first] * (len(by) + 1)
+    longest = np.maximum.accumulate(top + length)  # of the runs of a vector up to this one
+    before = np.r_[0, np.maximum(longest[:-1] - top[1:], 0)]
+    keep = np.sort(by[place - np.repeat(before, length) < k])
     return ids[keep], x[keep]
 
 
@@ -130,7 +137,7 @@ def nearest(
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        every_dim = {d: _distinct_first(i, x, k + 1) for d, (i, x) in _joined(right, kind).items()} if len(left) else {}
+        every_dim = {d: _distinct_first(i, x, k) for d, (i, x) in _joined(right, kind).items()} if len(left) else {}
         for block, dim, ids, data in zip(left["block"], left["dim"], left["ids"], left["data"], strict=True):
             if int(dim) not in every_dim:
                 continue

@@ -62,16 +62,16 @@ def no_random_access(scale: int, stops=STOPS, block: int = BLOCK):
             bar = np.full(len(own), -np.inf)  # k-th best score so far
             for names, part, ordered, depth in lists:
                 n = len(names)
-                alive = names[None, :] != own[:, None]
+                others = names[None, :] != own[:, None]
+                alive = others.copy()
                 for stop in stops:
                     read = min(n, int(np.ceil(stop * n)))
                     from_top, from_bottom = depth >= n - read, depth < read
                     high, low = ordered[n - read], ordered[read - 1]  # where reading stands
                     best_case = up @ np.where(from_top, part, high).astype(kind).T + down @ np.where(from_bottom, part, low).astype(kind).T
-                    if n > k + 1:
+                    if n > k:
                         worst = up @ np.where(from_top, part, ordered[0]).astype(kind).T + down @ np.where(from_bottom, part, ordered[-1]).astype(kind).T
-                        # A query's own row may be among them, so one more.
-                        bar = np.maximum(bar, _kth(worst, k + 1))
+                        bar = np.maximum(bar, _kth(np.where(others, worst, -np.inf), k))  # a query's own rows, however many, are no candidates
                     alive &= best_case >= bar[:, None]
                     if alive.mean() < 0.05:
                         break

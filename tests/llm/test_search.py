@@ -103,3 +103,31 @@ def test_bounds_hold():
     about = (codes @ codes.T) * scale[:, None] * scale
     true = x.astype(float) @ x.astype(float).T
     assert (np.abs(true - about) <= error[:, None] * size + rounded[:, None] * error + 1e-6 * size[:, None] * size).all()
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e-3])
+def test_repeated_rows_of_the_query(spark, shift):
+    rng = np.random.default_rng(2)
+    own = [3.0, 1.0, 2.0, -1.0, 0.5, 2.5]
+    data = [(20, [x + shift * i for x in own]) for i in range(30)] + [(40, own)] * 3 + [(21 + i, own) for i in range(4)]
+    data += [(100 + i, rng.normal(size=6).tolist()) for i in range(400)]
+    rows = spark.createDataFrame(data, "vec_id long, embedding array<double>").coalesce(1)
+    vs = [(i, v) for i, v in data]
+    whole = lambda a, b: sum(math.floor(64 * x) * math.floor(64 * y) for x, y in zip(a, b, strict=True))
+    assert sorted(map(tuple, topk.exact_top_k(rows).collect())) == sorted(brute(vs, whole))
+
+    def score(a, b):
+        t = 0.0
+        for x, y in zip(a, b, strict=True):
+            t += x * y
+        return t
+
+    assert sorted(map(tuple, ann.nearest_neighbours(rows).collect())) == sorted(brute(vs, score))
+
+
+def test_first_of_equal_vectors():
+    ids = np.array([5] * 30 + [7] * 2 + list(range(8, 60)))
+    kept, _ = blocks._distinct_first(ids, np.ones((len(ids), 2)), 20)
+    for q in (1, 5, 7, 8, 30):
+        assert [i for i in kept if i != q][:20] == [i for i in ids if i != q][:20]
+    assert len(kept) <= 40
