@@ -16,8 +16,8 @@ at least ``purity``.  A page that no rule fits takes its template's verdict.
 
 The tree is built from counts of distinct shapes (aggregated before any shuffle),
 never from the pages themselves; pages meet the result in one equi-join by (host,
-shape) that the engine may split where a host is hot.  Levels below
-``depth`` stay in the template as one tail.
+shape) that the engine may split where a host is hot.  Levels follow until
+no path has segments left; stretches without a branch are taken in one step.
 
 Defined results: a null url or one without ``://`` has an empty host and path, and
 its template is the empty one; equal urls get equal results; an empty table gives
@@ -34,6 +34,8 @@ from quarrylight.session import durable
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ANY = "*"
+#: Levels of the tree in one plan.
+ROUNDS = 4
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -72,36 +74,65 @@ def shape_of(path: Column) -> Column:
     return F.array_join(F.transform(F.split(path, "/", -1), _form), "/")
 
 
-def templates(shapes: DataFrame, depth: int = 4, many: int = 20, rare: float = 0.05, z: float = 1.96) -> DataFrame:
+def _level(tree: DataFrame, many: int, rare: float, z: float) -> DataFrame:
+    """One more segment of each template."""
+    tree = tree.withColumn("child", F.get("rest", F.lit(0)))
+    nodes = tree.where(F.col("child").isNotNull()).groupBy("host", "template", "child").agg(
+        F.sum("n").alias("c_n"), F.sum("labelled").alias("c_l"), F.sum("blocked").alias("c_b")
+    )
+    parents = nodes.groupBy("host", "template").agg(
+        F.count(F.lit(1)).alias("children"), F.count(F.when(F.col("c_l") > 0, 1)).alias("known"), F.sum("c_n").alias("p_n"), F.sum("c_l").alias("p_l"), F.sum("c_b").alias("p_b")
+    )
+    rate = F.try_divide("p_b", "p_l")
+    spread = F.sqrt(F.try_divide(rate * (1 - rate), F.col("c_l")))
+    variable = (F.col("children") > many) & (F.col("c_n") < rare * F.col("p_n"))
+    alike = (F.col("known") > 1) & (F.col("c_l") > 0) & (F.abs(F.try_divide("c_b", "c_l") - rate) <= z * spread)
+    named = nodes.join(parents, ["host", "template"]).select(
+        "host", "template", "child", F.when(variable | F.coalesce(alike, F.lit(False)), F.lit(ANY)).otherwise(F.col("child")).alias("name")
+    )
+    return (
+        tree.join(named, ["host", "template", "child"], "left")
+        .withColumn("template", F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", "name")))
+        .withColumn("rest", F.expr("slice(rest, 2, 1000000)"))
+        .select("host", "shape", "n", "labelled", "blocked", "template", "rest")
+    )
+
+
+def _unbranched(tree: DataFrame) -> DataFrame:
+    """The segments that all paths below a template share: an only child keeps its name, so no round is needed for them."""
+    ends = tree.groupBy("host", "template").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+    differs = F.filter(F.sequence(F.lit(1), F.least(F.size("lo"), F.size("hi"))), lambda i: F.element_at("lo", i) != F.element_at("hi", i))
+    shared = ends.select("host", "template", F.coalesce(F.get(differs, F.lit(0)) - 1, F.least(F.size("lo"), F.size("hi"))).alias("shared"))
+    return tree.join(shared, ["host", "template"]).select(
+        "host", "shape", "n", "labelled", "blocked",
+        F.when(F.col("shared") > 0, F.concat_ws("/", "template", F.slice("rest", F.lit(1), F.col("shared")))).otherwise(F.col("template")).alias("template"),
+        F.slice("rest", F.col("shared") + 1, F.lit(1_000_000)).alias("rest"),
+    )
+
+
+def templates(shapes: DataFrame, many: int = 20, rare: float = 0.05, z: float = 1.96) -> DataFrame:
     """(host, shape, n, labelled, blocked) to (host, shape, template)."""
     tree = (
         shapes.withColumn("segments", F.split("shape", "/", -1))
         .withColumn("template", F.get("segments", F.lit(0)))
         .withColumn("rest", F.slice("segments", 2, 1_000_000))
+        .drop("segments")
     )
-    for _ in range(depth):
-        tree = tree.withColumn("child", F.get("rest", F.lit(0)))
-        nodes = tree.where(F.col("child").isNotNull()).groupBy("host", "template", "child").agg(
-            F.sum("n").alias("c_n"), F.sum("labelled").alias("c_l"), F.sum("blocked").alias("c_b")
-        )
-        parents = nodes.groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("children"), F.count(F.when(F.col("c_l") > 0, 1)).alias("known"), F.sum("c_n").alias("p_n"), F.sum("c_l").alias("p_l"), F.sum("c_b").alias("p_b")
-        )
-        rate = F.try_divide("p_b", "p_l")
-        spread = F.sqrt(F.try_divide(rate * (1 - rate), F.col("c_l")))
-        variable = (F.col("children") > many) & (F.col("c_n") < rare * F.col("p_n"))
-        alike = (F.col("known") > 1) & (F.col("c_l") > 0) & (F.abs(F.try_divide("c_b", "c_l") - rate) <= z * spread)
-        named = nodes.join(parents, ["host", "template"]).select(
-            "host", "template", "child", F.when(variable | F.coalesce(alike, F.lit(False)), F.lit(ANY)).otherwise(F.col("child")).alias("name")
-        )
-        tree = (
-            tree.join(named, ["host", "template", "child"], "left")
-            .withColumn("template", F.when(F.col("name").isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", "name")))
-            .withColumn("rest", F.expr("slice(rest, 2, 1000000)"))
-            .select("host", "shape", "n", "labelled", "blocked", "template", "rest")
-        )
-    tail = F.when(F.size("rest") > 0, F.concat(F.col("template"), F.lit("/**"))).otherwise(F.col("template"))
-    return tree.select("host", "shape", "n", "labelled", "blocked", tail.alias("template"))
+    longest = shapes.agg(F.coalesce(F.max(F.size(F.split("shape", "/", -1))), F.lit(1))).first()[0]
+    for _ in range(min(ROUNDS, longest - 1)):
+        tree = _level(tree, many, rare, z)
+    ended, left = [], longest - 1 > ROUNDS
+    while left:
+        # Written, as the plan refers to the tree three times a level; shapes whose path has ended are set aside.
+        tree = durable(tree, "url-tree")
+        ended.append(tree.where(F.size("rest") == 0))
+        tree = durable(_unbranched(tree.where(F.size("rest") > 0)), "url-tree")
+        left = not tree.where(F.size("rest") > 0).isEmpty()
+        for _ in range(ROUNDS * left):
+            tree = _level(tree, many, rare, z)
+    for part in ended:
+        tree = tree.unionByName(part)
+    return tree.drop("rest")
 
 
 def judged(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", weight: float = 4.0, purity: float = 0.5, **tree) -> DataFrame:

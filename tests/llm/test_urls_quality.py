@@ -120,3 +120,14 @@ def test_interactions_are_learnt():
     y = (x[:, 0] * x[:, 1] > 0).astype(float)
     model = quality.AdditiveModel(rounds=20, pair_rounds=80, pairs=2).fit(x[:3000], y[:3000])
     assert np.mean((model.score(x[3000:]) >= 0.5) == y[3000:]) > 0.85
+
+
+def test_branches_below_the_fourth_level(spark):
+    at = "https://example.com/a/b/c/d/e/f/g"
+    rules = (("example.com/a/b/c/d/e/f/g/bad/", "block"), ("example.com/a/b/c/d/e/f/g/good/", "allow"))
+    urls = [f"{at}/{kind}/x{i}" for kind in ("bad", "good") for i in range(30)] + [at, f"{at}/bad", f"{at}/good"]
+    pages = spark.createDataFrame([(i, u, "h", "x", "y", 1) for i, u in enumerate(urls)], SCHEMA)
+    got = {urls[r.id]: r for r in url_filters.judged(pages, rules).collect()}
+    assert got[f"{at}/bad/x1"].template == "/a/b/c/d/e/f/g/bad/*" and got[f"{at}/good/x1"].template == "/a/b/c/d/e/f/g/good/*"
+    assert got[f"{at}/bad/x1"].score > 0.5 > got[f"{at}/good/x1"].score
+    assert len(got) == len(urls) and got[at].template == "/a/b/c/d/e/f/g"
