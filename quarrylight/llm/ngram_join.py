@@ -26,6 +26,8 @@ each pair of parts is a task's work of bounded size.
 
 Links are joined to components by the large-star and small-star steps, rounds of
 joins with group minima, until nothing changes; links never leave the cluster.
+As not all links of a long list are looked at for that, the links of each set are
+counted afterwards, on the whole sets of its component.
 
 Defined results: null and empty texts, and texts without words, have no shingles
 and link with nothing; fewer words than ``k`` form one shingle; rows with equal
@@ -54,6 +56,8 @@ from .shingles import mix, set_key, shingle_sets
 
 BINS = 1 << 20
 LONG, PIVOTS = 16, 24
+#: Sets and bytes of a part whose links are counted in one task, and shingles of a product there.
+TOGETHER, PART_BYTES, COLUMNS = 512, 8 << 20, 4096
 PART = 100_000
 LARGEST_LIGHT = 16
 BITMAP_MOST = 32768
@@ -488,6 +492,59 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("v"), F.col("v").alias("root")).union(roots.select("v", F.col("v").alias("root")))
 
 
+# --- links within a component ---------------------------------------------------
+
+
+def _counts(percent: int):
+    """Of two parts x and y of a component (or one part, x = y): how many links between them each set has."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = [np.frombuffer(v, np.uint64) for v in pdf["values"]]
+        mine, n = pdf["mine"].to_numpy(np.int64), np.array([len(v) for v in values], np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        _, column, held = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+        shared = held[column] > 1
+        row, column = row[shared], column[shared]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        both = np.zeros((len(n), len(n)), np.float32)  # overlaps; no set has 2**24 shingles in common with another
+        for a in range(0, len(held), COLUMNS):
+            part = slice(*np.searchsorted(column, [a, a + COLUMNS]))
+            if part.start == part.stop:
+                continue
+            has = np.zeros((len(n), COLUMNS), np.float32)
+            has[row[part], column[part] - a] = 1
+            both += has @ has.T
+        linked = both >= overlap_needed(n[:, None], n[None, :], percent)
+        np.fill_diagonal(linked, False)
+        if pdf["x"].iloc[0] != pdf["y"].iloc[0]:
+            linked &= mine[:, None] != mine[None, :]
+        return pd.DataFrame({"key": pdf["key"], "links": linked.sum(axis=1).astype(np.int64)})
+
+    return run
+
+
+def _link_counts(rooted: DataFrame, texts: DataFrame, k: int, percent: int, together: int) -> DataFrame:
+    """(key, links) of sets (key, name, n, root) in components of two sets and more.
+
+    Every link is inside a component.  One of many sets is cut into parts of about ``together`` sets and
+    ``PART_BYTES``; each pair of parts is a task's work, which returns counts and no pairs.
+    """
+    sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
+    parts = F.greatest(F.ceil(F.col("sets") / together), F.ceil(F.col("shingles") * 8 / PART_BYTES)).cast("int")
+    many = durable(rooted.join(sizes.where("sets > 1"), "root").select("key", "name", "root", "sets", parts.alias("parts")), "linked")
+    found = _wanted_sets(texts, k, many.where("sets > 2").select("name"))
+    dealt = (
+        found.select("key", "values")
+        .join(many.where("sets > 2").select("key", "root", "parts"), "key")
+        .withColumn("mine", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("key", "values", "root", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
+    )
+    counted = dealt.groupBy("root", "x", "y").applyInPandas(_counts(percent), "key binary, links long")
+    return counted.groupBy("key").agg(F.sum("links").alias("links")).union(many.where("sets = 2").select("key", F.lit(1).cast("long")))
+
+
 # --- the operator ---------------------------------------------------------------
 
 
@@ -525,7 +582,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     smallest hash of its text stays, of rows that are equal one; rows without an id give way to others.
     """
     found = durable(
-        classes(docs, k, percent, id_col, text_col).where(F.col("component_key").isNotNull()).select("id", "mark", "component_key"), "classes"
+        classes(docs, k, percent, id_col, text_col, count=False).where(F.col("component_key").isNotNull()).select("id", "mark", "component_key"), "classes"
     )
     pick = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("mark"))
     stays = found.groupBy("component_key").agg(F.min(pick).alias("pick")).select("component_key", "pick.id", "pick.mark")
@@ -558,13 +615,12 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
     return out
 
 
-def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", boundary: int | None = None, buckets: int | None = None, long: int = LONG, pivots: int = PIVOTS, part: int = PART) -> DataFrame:
+def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", boundary: int | None = None, buckets: int | None = None, long: int = LONG, pivots: int = PIVOTS, part: int = PART, together: int = TOGETHER, count: bool = True) -> DataFrame:
     """Per row: ``id``, ``n_shingles``, ``component_id`` (the smallest id reachable by links), ``set_key`` and ``links``,
     besides ``mark`` (a hash of the text, to tell rows of one id apart) and ``component_key`` (null without shingles).
 
-    ``set_key`` names the row's class of equal sets (null without shingles).  ``links`` counts the
-    links found and verified between its class and other classes: at least one per class in a
-    component, every one outside long lists.  Lists of more than ``long`` sets start with
+    ``set_key`` names the row's class of equal sets (null without shingles).  ``links`` is the
+    number of other classes that its class links with (null without ``count``).  Lists of more than ``long`` sets start with
     at most ``pivots`` sets; a list is cut into parts of about ``part`` sets.
     """
     spark = docs.sparkSession
@@ -609,16 +665,19 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
         more = _links(rest.groupBy("token", "part").applyInPandas(_cross(percent), "a long, b long"), sets, texts, k, percent)
         links = durable(links.union(more).dropDuplicates(), "all-links")
         roots = components(links)
-    counted = links.select(F.explode(F.array("u", "v")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("links"))
     rooted = (
-        sets.select("key", "least_id")
+        sets.select("key", "name", "n", "least_id")
         .join(roots.select(F.col("v").alias("key"), "root"), "key", "left")
         .withColumn("root", F.coalesce("root", "key"))
-        .join(counted, "key", "left")
     )
+    number = F.lit(None).cast("long")
+    if count:
+        rooted = durable(rooted, "rooted")
+        rooted = rooted.join(_link_counts(rooted, texts, k, percent, together), "key", "left")
+        number = F.coalesce("links", F.lit(0))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_key = rooted.join(least, "root").select("key", F.col("root").alias("component_key"), "component_id", F.coalesce("links", F.lit(0)).alias("links"))
+    by_key = rooted.join(least, "root").select("key", F.col("root").alias("component_key"), "component_id", number.alias("links"))
     return (
         members.join(by_key, "key", "left")
-        .select("id", "mark", "component_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("key").alias("set_key"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+        .select("id", "mark", "component_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("key").alias("set_key"), (F.coalesce("links", F.lit(0)) if count else number).cast("long").alias("links"))
     )

@@ -124,3 +124,17 @@ def test_links_of_a_chain(spark):
     data = [(1, "a b c d e f g h i j k l m n o p q r s t"), (2, "a b c d e f g h i j k l m n o p q r s u"), (3, "x y"), (4, None)]
     got = {r.id: r.links for r in ngram_join.classes(spark.createDataFrame(data, "doc_id long, text string"), 4, 85).collect()}
     assert got == {1: 1, 2: 1, 3: 0, 4: 0}
+
+
+@pytest.mark.parametrize("together", [512, 9])
+def test_links_of_long_lists_are_all_counted(spark, together):
+    words = [f"w{i}" for i in range(120)]
+    data = [(i, " ".join(words[:i] + [f"x{i}"] + words[i + 1 :])) for i in range(60)] + made(7, groups=6, size=40, most=70)
+    data = [(i, t) for i, (_, t) in enumerate(data)]
+    sets = {i: shingle_set(t, 3) for i, t in data}
+    distinct = set(filter(None, sets.values()))
+    linked = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    want = {i: sum(linked(s, o) for o in distinct if o != s) if s else 0 for i, s in sets.items()}
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = {r.id: r.links for r in ngram_join.classes(docs, 3, 75, together=together).collect()}
+    assert got == want and max(want.values()) >= 40
