@@ -1 +1 @@
-"""Operators for large-scale training-data pipelines; nothing outside this subpackage imports it."""
+"""Operators for large-scale training-data pipelines; outside this subpackage only ``operators.origins`` imports it."""

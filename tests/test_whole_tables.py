@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from quarrylight.operators import windows
+from quarrylight.operators import origins, windows
 from quarrylight.plans import catalogue
 
 
@@ -64,3 +64,18 @@ def test_research_queries_cover_all_parts(spark):
     sample = catalogue.queries()["research_angles"](spark, d)
     assert got.select("p_partkey").distinct().count() == spark.read.parquet(f"{d}/part.parquet").count()
     assert sample.exceptAll(got).count() == 0
+
+
+def test_origin_groups(spark):
+    words = [f"word{i} " for i in range(80)]
+    near, apart, brief = words[:], words[:], words[:42]
+    near[30] = "changed "
+    for i in (5, 15, 25, 35, 45):
+        apart[i] = "other "
+    short = brief[:]
+    short[41] = "end "
+    rows = [(10, "".join(words), []), (11, "".join(near), []), (12, "".join(apart), []), (13, "".join(reversed(brief)), []), (14, "".join(reversed(short)), [])]
+    rows += [(20, "One  Text", []), (21, "one text", ["doi:1"]), (22, "elsewhere", ["arxiv:2", "doi:1"]), (23, "", []), (24, " ", []), (25, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, works array<string>")
+    got = {r.doc_id: r.origin for r in origins.origin_groups(df, "doc_id", "text", origins.F.col("works")).collect()}
+    assert got == {10: 10, 11: 10, 12: 12, 13: 13, 14: 14, 20: 20, 21: 20, 22: 20, 23: 23, 24: 24, 25: 25}
