@@ -41,13 +41,41 @@ def test_bpe_query(spark, case):
 def test_perfect_hash_is_minimal_and_rejects_strangers():
     ranks = bpe.read_ranks(RANKS)
     h = bpe.codec(RANKS, P.PATTERN).hash
-    assert h.n == len(ranks) and sorted(h.values.tolist()) == sorted(ranks.values())
+    short = {t: r for t, r in ranks.items() if len(t) <= bpe.WORDS}
+    assert h.n == len(short) and sorted(h.values.tolist()) == sorted(short.values())
     codec = bpe.codec(RANKS, P.PATTERN)
     for piece in (b" zzqx", b"thonononthhe", b"a" * 3000, "é中\U0001f600".encode(), b"\xff\xfe"):
-        ids = bpe.merged(piece, ranks)
+        ids = bpe.merged(piece, codec.single, codec.pairs)
         assert codec.decode(ids) == piece
 
 
+def test_bytes_of_hits_are_compared():
+    h = bpe.PerfectHash([b"ab", b"cd"], [1, 2])
+    h.first[:] = 0  # slots that keep other bytes: nothing may be found by its hash alone
+    word = np.frombuffer(b"ab".ljust(16, b"\0"), "<u8")
+    assert h.find(word[:1], word[1:], np.array([2])).tolist() == [bpe.NO_ID]
+
+
+def test_every_character_splits_as_in_the_library():
+    enc = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    codec = bpe.codec(RANKS, P.PATTERN)
+    assert bpe.PATTERN == P.PATTERN
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    data = [f"a{c}b1{c} {c}{c}'s\n{c}x" for c in map(chr, points)]
+    assert [x.tolist() for x in codec.encode_all(data)] == enc.encode_ordinary_batch(data)
+    rnd = random.Random(5)
+    data = ["".join(rnd.choice("ab'strelvdm 's \n\t 1²é中\U0001f600.,-\u00a0\u3000\x1c_") for _ in range(rnd.randint(0, 30))) for _ in range(20_000)]
+    for _ in range(2):  # the second time out of the cache
+        assert [x.tolist() for x in codec.encode_all(data)] == enc.encode_ordinary_batch(data)
+
+
+def test_very_long_texts():
+    enc = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    rnd = random.Random(9)
+    data = ["word " * 500_000, "x" * 20_000, "".join(rnd.choice("abcdefgh") for _ in range(30_000)), "\n" * 100_000 + "a"]
+    assert [x.tolist() for x in bpe.codec(RANKS, P.PATTERN).encode_all(data)] == enc.encode_ordinary_batch(data)
+
+
 def test_round_trip_of_arrays(spark):
     docs = spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")
     coded = bpe.encoded(docs, RANKS, P.PATTERN)
@@ -60,7 +88,6 @@ def test_packing_query(spark, case):
 
     sf_dir, data = case
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     got = queries.queries()["op3_best_fit_packing"](spark, sf_dir).collect()
     want = Counter()
     for (i, _), e in zip(data, t.encode_batch([x or "" for _, x in data], add_special_tokens=False), strict=True):
@@ -109,7 +136,7 @@ def test_pack_is_optimal_on_small_instances(seed):
     cap = rnd.choice([10, 20, 50])
     sizes = [rnd.randint(1, cap) for _ in range(rnd.randint(0, 11))]
     counts = Counter(sizes)
-    plan = packing.pack(counts, cap)
+    plan = packing.pack(counts, cap, None)
     used = Counter()
     for pattern, times in plan:
         assert sum(k * c for k, c in pattern) <= cap and times > 0
