@@ -7,8 +7,8 @@ corpus is.  It is solved on the driver as patterns with multiplicities:
 * best-fit decreasing over groups of equal bins gives the incumbent;
 * if that is above the lower bound, bin completion improves it: around the
   largest item left, the undominated fillings are enumerated, the least waste
-  first, each applied as often as the counts allow, and a branch whose waste
-  exceeds what the incumbent leaves is cut.
+  first, each applied as often as the counts allow and then fewer times, and a
+  branch whose waste exceeds what the incumbent leaves is cut.
 
 The documents then find their places without leaving the cluster: the rank of a
 piece among those of its length is a two-level count (per slice of a range
@@ -21,10 +21,9 @@ rows are packed each by itself; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import json
 import zlib
 from bisect import bisect_left
-from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +32,11 @@ from pyspark.sql import functions as F
 
 from quarrylight.session import durable, release
 
-from .bpe import chunks
+from .bpe import chunks, json_codec
 
 CAPACITY = 2048
+#: Steps of the search; None lets it run to the end.
+NODES = 20_000
 
 
 def _add(pattern: tuple, length: int, k: int) -> tuple:
@@ -88,27 +89,20 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return int(max(bounds.max(), -(-volume[-1] // capacity)))
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int, width: int) -> list[tuple]:
-    """Undominated fillings of ``room``, least waste first, at most ``width`` of them.
+def fillings(sizes: list[int], counts: dict[int, int], room: int, waste: int):
+    """Undominated fillings of ``room`` that leave at most ``waste`` of it, least waste first, one by one.
 
-    A filling to which another item could be added is dominated by the filling with it; of
-    fillings with equal sums the one of fewer, larger items dominates.  ``sizes`` descend.
+    ``sizes`` descend.  A filling is dominated by another if its items fit into distinct items of the other; left out
+    are those in which an item could give way to a larger one or two items to one of their size or more, within the room,
+    and those that another item could be added to.  One item as large as the room dominates all others.
     """
-    exact = []
     if counts.get(room):
-        exact.append(((room, 1),))
-    for a in sizes[bisect_left(sizes, -room, key=lambda v: -v) :]:
-        b = room - a
-        if b > a or len(exact) >= width:
-            break
-        if b and counts.get(b, 0) >= 1 + (a == b):
-            exact.append(((a, 1), (b, 1)) if a != b else ((a, 2),))
-    if exact:
-        return exact
-    # Reachable sums as bits of an integer, after each size from the smallest on.
-    usable = sizes[bisect_left(sizes, -room, key=lambda v: -v) :][::-1]
+        yield ((room, 1),)
+        return
+    usable = sizes[bisect_left(sizes, -room, key=lambda v: -v) :]  # descending
+    # Reachable sums as bits of an integer: reach[k] has those of usable[k:].
     mask, reach = (1 << (room + 1)) - 1, [1]
-    for v in usable:
+    for v in reversed(usable):
         bits, left, step = reach[-1], min(counts[v], room // v), 1
         while left:
             k = min(step, left)
@@ -116,46 +110,85 @@ def fillings(sizes: list[int], counts: dict[int, int], room: int, width: int) ->
             left -= k
             step *= 2
         reach.append(bits)
-    found, sums = [], reach[-1]
-    while sums and len(found) < width:
+    reach.reverse()
+    sums = reach[0]
+    while sums:
         target = sums.bit_length() - 1
+        if target < room - waste:
+            return
         sums ^= 1 << target
-        chosen = []
-        for k in range(len(usable) - 1, -1, -1):  # the largest items that still reach the sum
-            if not target:
+        for chosen in _subsets(usable, counts, reach, target):
+            if not _dominated(chosen, usable, counts, room - target):
+                yield chosen
+
+
+def _subsets(usable: list[int], counts: dict[int, int], reach: list[int], target: int):
+    """All ways to make ``target``, those with the largest items first."""
+    stack = [(0, target, ())]
+    while stack:
+        k, left, chosen = stack.pop()
+        if not left:
+            yield chosen
+            continue
+        while k < len(usable) and (usable[k] > left or not reach[k + 1] >> left & 1):
+            if usable[k] <= left and reach[k] >> left & 1:
                 break
-            v = usable[k]
-            for c in range(min(counts[v], target // v), 0, -1):
-                if reach[k] >> (target - c * v) & 1:
-                    chosen.append((v, c))
-                    target -= c * v
-                    break
-        found.append(tuple(chosen))
-    return found
-
-
-def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 20_000, width: int = 3) -> list[tuple[tuple, int]]:
-    """Patterns with multiplicities that hold every item of the histogram."""
+            k += 1
+        if k == len(usable):
+            continue
+        v = usable[k]
+        for c in range(min(counts[v], left // v) + 1):  # the most copies come off the stack first
+            if reach[k + 1] >> (left - c * v) & 1:
+                stack.append((k + 1, left - c * v, (*chosen, (v, c)) if c else chosen))
+
+
+def _dominated(chosen: tuple, usable: list[int], counts: dict[int, int], spare: int) -> bool:
+    used = dict(chosen)
+    free = sorted(v for v in usable if counts[v] > used.get(v, 0))
+    if not free:
+        return False
+    if spare >= free[0]:
+        return True  # not maximal
+
+    def between(low: int, high: int) -> bool:  # whether an item of that size is left
+        k = bisect_left(free, low)
+        return k < len(free) and free[k] <= high
+
+    items = [v for v, _ in chosen]
+    if any(between(v + 1, v + spare) for v in items):
+        return True
+    pairs = [a + b for i, a in enumerate(items) for b in items[i + 1 :]] + [2 * v for v, c in chosen if c > 1]
+    return any(between(s, s + spare) for s in pairs)
+
+
+def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES) -> list[tuple[tuple, int]]:
+    """Patterns with multiplicities that hold every item of the histogram.
+
+    ``nodes`` bounds the steps of the search, which keeps the best plan so far; without a bound (None) it
+    runs to the end and the plan has the fewest bins that there are.
+    """
     counts = {k: n for k, n in counts.items() if n}
     best = best_fit(counts, capacity)
     if not counts:
         return best
     least, total = lower_bound(counts, capacity), sum(k * n for k, n in counts.items())
     bins, visited = sum(n for _, n in best), 0
-    # A depth-first search with an explicit stack of (path, bins, waste); a path is a linked list, and the
-    # counts left are rebuilt from it where the search goes back, so memory follows the depth alone.
-    stack, at, left = [(None, 0, 0)], None, dict(counts)
-    while stack and bins > least and visited < nodes:
-        path, used, waste = stack.pop()
+    # A depth-first search with an explicit stack.  An entry is a node (path, bins, waste) and which of its branches
+    # is next (number of the filling, times it is applied; None: as often as the counts allow).  A path is a linked
+    # list, and the counts left are rebuilt from it where the search goes back, so memory follows the depth alone.
+    stack, at, left = [(None, 0, 0, 0, None)], None, dict(counts)
+    while stack and bins > least and (nodes is None or visited < nodes):
+        path, used, waste, number, times = stack.pop()
         visited += 1
-        if waste > (bins - 1) * capacity - total:
+        spare = (bins - 1) * capacity - total - waste
+        if spare < 0:
             continue  # even without further waste this takes as many bins as the incumbent
-        if path is not None and path[0] is at:
+        if path is not None and path[0] is at and not number and times is None:
             _take(left, *path[1])
         elif path is not at:
             left = dict(counts)
-            for pattern, times in _steps(path):
-                _take(left, pattern, times)
+            for step in _steps(path):
+                _take(left, *step)
         at = path
         if not left:
             if used < bins:
@@ -163,15 +196,20 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = 20_000,
             continue
         sizes = sorted(left, reverse=True)
         top = sizes[0]
-        options = []
         usable = {**left, top: left[top] - 1}
-        for f in fillings([s for s in sizes if usable[s]], usable, capacity - top, width):
-            uses = dict(f)
-            uses[top] = uses.get(top, 0) + 1
-            times = min(left[k] // c for k, c in uses.items())
-            spare = capacity - sum(k * c for k, c in uses.items())
-            options.append(((path, (tuple(uses.items()), times)), used + times, waste + times * spare))
-        stack += reversed(options)  # the least waste is tried first
+        found = fillings([s for s in sizes if usable[s]], usable, capacity - top, spare)
+        filling = next(islice(found, number, None), None)
+        if filling is None:
+            continue
+        uses = dict(filling)
+        uses[top] = uses.get(top, 0) + 1
+        waste_of_one = capacity - sum(k * c for k, c in uses.items())
+        most = min(left[k] // c for k, c in uses.items())
+        if waste_of_one:
+            most = min(most, spare // waste_of_one)
+        times = most if times is None else times
+        stack.append((path, used, waste, number, times - 1) if times > 1 else (path, used, waste, number + 1, None))
+        stack.append(((path, (tuple(uses.items()), times)), used + times, waste + times * waste_of_one, 0, None))
     return best
 
 
@@ -190,41 +228,23 @@ def _steps(path) -> list[tuple]:
     return out[::-1]
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str):
-    """The byte-level BPE in a ``tokenizers`` JSON file, run by the tiktoken library: the same ids, four times as fast."""
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE writes these bytes as themselves
-    byte_of, n = {chr(b): b for b in printable}, 0
-    for b in range(256):
-        if b not in printable:
-            byte_of[chr(256 + n)] = b
-            n += 1
-    special = {t["content"] for t in spec.get("added_tokens", ())}
-    ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: ``id``, ``piece``, ``start``, ``length``, ``ids_crc32``.
 
-    A document is its ids and ``end_id``; one longer than ``capacity`` is cut so that all pieces
+    ``path`` is a ``tokenizers`` JSON file of a byte-level BPE.  A document is its ids and ``end_id``; one longer than ``capacity`` is cut so that all pieces
     but the first have ``capacity`` ids.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(json_codec(path))  # as large as the vocabulary
 
     def run(batches):
-        encode = tokenizer(path).encode_ordinary
+        tool = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in chunks(texts):
                 at, number, start, length, crc = [], [], [], [], []
-                for k in range(a, b):
-                    ids = np.array([*encode(texts[k]), end_id], "<u4")
+                for k, found in enumerate(tool.encode_all(texts[a:b]), a):
+                    ids = np.append(found, end_id).astype("<u4")
                     cuts = [0, *range(len(ids) % capacity or min(capacity, len(ids)), len(ids) + 1, capacity)]
                     for p, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                         at.append(k)
