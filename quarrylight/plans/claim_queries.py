@@ -27,16 +27,16 @@ def claim_merge(s, d):
     return m.select(F.sha2("claim", 256).alias("claim_sha"), F.array_join(F.col("urls").cast("array<string>"), ",").alias("urls"), "level", "ordinal", C.isolated(F.col("urls"), F.col("level")).alias("isolated"))
 
 
-def _numbered(s, d):
-    return _sentences(s, d).where(F.col("claim").rlike("[0-9]")).select("id", "claim", X.content_terms(F.col("claim")).alias("terms"))
+def _termed(s, d):
+    return _sentences(s, d).select("id", "claim", X.content_terms(F.col("claim")).alias("terms"))
 
 
 def conflict_pairs(s, d):
-    return C.conflict_pairs(_numbered(s, d), "id", "terms")
+    return C.conflict_pairs(_termed(s, d), "id", "terms")
 
 
 def contradictions(s, d):
-    c = _numbered(s, d)
+    c = _termed(s, d)
     return C.contradictions(C.conflict_pairs(c, "id", "terms"), c, "id", "claim").select("a", "b")
 
 
@@ -202,12 +202,6 @@ def comparability_members(s, d):
     return U.comparability_classes(_metrics(s, d), "s_suppkey", ("geography", "scope", "unit"), "geography")[1]
 
 
-def comparability_pairs(s, d):
-    m = _metrics(s, d).where("s_suppkey <= 60")  # a sample, as in its SQL; the two above are over all
-    pair = m.alias("a").join(m.alias("b"), (F.col("a.geography") == F.col("b.geography")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey")))
-    return pair.select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"), F.array_join(U.comparison_reasons("a", "b", ("geography", "scope", "unit")), ",").alias("reasons"))
-
-
 def replay_violations(s, d):
     ledger = _yearly(s, d)
     changed = ledger.withColumn("value", F.when(F.col("nation") == 3, F.col("value") + 1).otherwise(F.col("value")))
@@ -221,7 +215,7 @@ def dense_claim_ids(s, d):
 QUERIES = [
     claim_extract, claim_merge, conflict_pairs, contradictions, best_overlap, entailment, citation_integrity, citation_rates, page_of_offset, span_in_row,
     corroboration_counts, publication_status, status_counts, confidence_tiers, alignment_clusters, section_buckets, coverage_missing, comparison_matrix,
-    growth_by_nation, cagr_by_nation, share_of_region, point_change, hierarchy_check, share_total, unit_conversion, decimal_sums, comparability_pairs, comparability_classes,
+    growth_by_nation, cagr_by_nation, share_of_region, point_change, hierarchy_check, share_total, unit_conversion, decimal_sums, comparability_classes,
     comparability_members, replay_violations, dense_claim_ids,
 ]
 
@@ -230,9 +224,10 @@ from quarrylight.plans.text_queries import _NUMS, _SENT  # noqa: E402
 _FACT = r"(regexp_matches(claim, '[0-9]') OR regexp_matches(lower(claim), '\b(is|are|was|were|has|have|reported|announced|accounts|reached)\b'))"
 _CLAIMS = f"sents AS (SELECT doc_id, unnest(p) AS claim, unnest(range(len(p))) AS pos FROM (SELECT doc_id, {_SENT} AS p FROM documents)), claims AS (SELECT doc_id, pos, doc_id * 100000 + pos AS id, claim FROM sents WHERE {_FACT})"
 _TERMS = r"list_filter(list_distinct(regexp_extract_all(lower(%s), '[a-z][a-z0-9_]*|[0-9]+(?:\.[0-9]+)?')), lambda t: length(t) > 1 OR regexp_matches(t, '^[0-9]$'))"
-_PAIRS = f"""{_CLAIMS}, num AS (SELECT id, claim, {_TERMS % 'claim'} AS terms FROM claims WHERE regexp_matches(claim, '[0-9]')), posted AS (SELECT id, unnest(terms) AS term FROM num),
- rare AS (SELECT term FROM posted GROUP BY term HAVING count(*) BETWEEN 2 AND 150), cand AS (SELECT DISTINCT x.id AS a, y.id AS b FROM posted x JOIN rare USING (term) JOIN posted y ON x.term = y.term AND x.id < y.id),
- pairs AS (SELECT a, b, len(list_intersect(x.terms, y.terms)) AS shared, len(list_intersect(x.terms, y.terms)) / least(len(x.terms), len(y.terms)) AS ratio, x.claim AS ca, y.claim AS cb FROM cand JOIN num x ON x.id = a JOIN num y ON y.id = b)"""
+_PAIRS = f"""{_CLAIMS}, num AS (SELECT id, claim, {_TERMS % 'claim'} AS terms FROM claims), posted AS (SELECT id, unnest(terms) AS term FROM num),
+ frequent AS (SELECT term FROM posted GROUP BY term HAVING count(*) > 150), bar AS (SELECT CASE WHEN count(*) > 100 AND count(*) * (count(*) - 1) // 2 > 600 THEN 0.7 ELSE 0.5 END AS least_share FROM num),
+ kept AS (SELECT * FROM posted WHERE term NOT IN (SELECT term FROM frequent)), co AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM kept x JOIN kept y ON x.term = y.term AND x.id < y.id GROUP BY ALL),
+ pairs AS (SELECT a, b, shared, shared / least(len(x.terms), len(y.terms)) AS ratio, x.claim AS ca, y.claim AS cb FROM co JOIN num x ON x.id = a JOIN num y ON y.id = b, bar WHERE shared / least(len(x.terms), len(y.terms)) >= least_share - 1e-9)"""
 _BEST = f"""b AS (SELECT item_id, unnest(p) AS claim, unnest(range(len(p))) AS pos FROM (SELECT item_id, {_SENT} AS p FROM benchmark)), bc AS (SELECT item_id * 1000 + pos AS claim_id, {_TERMS % 'claim'} AS terms FROM b),
  c AS (SELECT claim_id, len(terms) AS n, unnest(terms) AS term FROM bc WHERE len(terms) >= 4), sents AS (SELECT doc_id, unnest(p) AS sentence, unnest(range(len(p))) AS pos FROM (SELECT doc_id, {_SENT} AS p FROM documents)),
  st AS (SELECT doc_id, pos, unnest({_TERMS % 'sentence'}) AS term FROM sents), hits AS (SELECT claim_id, doc_id, pos, n, count(*) AS shared FROM c JOIN st USING (term) GROUP BY ALL HAVING count(*) >= 4),
@@ -242,6 +237,8 @@ _CITE = """docs AS (SELECT doc_id AS url, text FROM documents WHERE length(text)
 _STATUS = """o AS (SELECT doc_id, count(*) OVER (PARTITION BY sha256(text)) AS origins FROM documents), st AS (SELECT doc_id AS claim_id, CASE WHEN doc_id % 3 = 0 THEN 'lead_only'
  WHEN (doc_id % 20 = 1 AND (doc_id + 1) % 3 <> 0 AND EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = o.doc_id)) OR (doc_id % 20 = 2 AND (doc_id - 1) % 3 <> 0 AND EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = o.doc_id - 1)) THEN 'disputed'
  WHEN origins >= 2 THEN 'corroborated' ELSE 'source_reported' END AS status FROM o)"""
+_CLASSES = """m AS (SELECT s_suppkey, s_nationkey AS g, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey % 2 END AS sc, s_suppkey % 5 AS u FROM supplier),
+ c AS (SELECT g, sc, u, min(s_suppkey) AS class, count(*) AS n FROM m GROUP BY ALL)"""
 _YEARLY = "y AS (SELECT c_nationkey AS nation, CAST(year(o_orderdate) AS INTEGER) AS year, sum(CAST(o_totalprice AS DECIMAL(20,2))) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"
 _SHARE = f"{_YEARLY}, sh AS (SELECT nation, year, n_regionkey, round(round_even(CAST(value AS DOUBLE) / CAST(sum(value) OVER (PARTITION BY n_regionkey, year) AS DOUBLE) * 100, 6), 4) AS share_pct FROM y JOIN nation ON n_nationkey = nation)"
 
@@ -250,8 +247,8 @@ ORACLES = {
     "claim_merge": f"""WITH {_CLAIMS}, r AS (SELECT lower(claim) AS claim, doc_id, id, CASE WHEN quality = 1 THEN 2 ELSE 3 END AS level FROM claims LEFT JOIN labels USING (doc_id)),
  u AS (SELECT claim, doc_id, min(id) AS o, min(level) AS l FROM r GROUP BY ALL) SELECT sha256(claim) AS claim_sha, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY o) AS urls, CAST(min(l) AS INTEGER) AS level, min(o) AS ordinal,
  count(*) = 1 AND min(l) >= 3 AS isolated FROM u GROUP BY claim""",
-    "conflict_pairs": f"WITH {_PAIRS} SELECT a, b, CAST(shared AS INTEGER) AS shared, round(ratio, 6) AS ratio FROM pairs WHERE ratio >= 0.5",
-    "contradictions": f"WITH {_PAIRS}, n AS (SELECT a, b, {_NUMS.replace('text', 'ca')} AS na, {_NUMS.replace('text', 'cb')} AS nb FROM pairs WHERE ratio >= 0.5) SELECT a, b FROM n WHERE len(na) > 0 AND len(nb) > 0 AND na <> nb",
+    "conflict_pairs": f"WITH {_PAIRS} SELECT a, b, CAST(shared AS INTEGER) AS shared, round(ratio, 6) AS ratio FROM pairs",
+    "contradictions": f"WITH {_PAIRS}, n AS (SELECT a, b, {_NUMS.replace('text', 'ca')} AS na, {_NUMS.replace('text', 'cb')} AS nb FROM pairs) SELECT a, b FROM n WHERE len(na) > 0 AND len(nb) > 0 AND na <> nb",
     "best_overlap": f"WITH {_BEST} SELECT claim_id, doc_id, pos AS \"at\", overlap FROM best WHERE overlap >= 0.5",
     "entailment": f"WITH {_BEST} SELECT claim_id, count(*) AS supporting, min(doc_id) AS first_doc FROM best WHERE overlap >= 0.85 GROUP BY claim_id",
     "citation_integrity": f"WITH {_CITE} SELECT * FROM good",
@@ -273,7 +270,7 @@ ORACLES = {
     "coverage_missing": """WITH y AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year FROM orders), w AS (SELECT c_nationkey AS n_nationkey, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 300000 GROUP BY ALL)
  SELECT n.n_nationkey, y.year, coalesce(n, 0) AS witnesses, n IS NULL AS missing FROM nation n CROSS JOIN y LEFT JOIN w ON w.n_nationkey = n.n_nationkey AND w.year = y.year""".replace("coalesce(n, 0)", "coalesce(w.n, 0)").replace("n IS NULL", "w.n IS NULL"),
     "comparison_matrix": """SELECT l_returnflag, coalesce(string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ' / ' ORDER BY CAST(l_linenumber AS VARCHAR)) FILTER (WHERE l_linestatus = 'F'), '') AS f_lines,
- coalesce(string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ' / ' ORDER BY CAST(l_linenumber AS VARCHAR)) FILTER (WHERE l_linestatus = 'O'), '') AS o_lines FROM lineitem WHERE l_quantity >= 49 GROUP BY l_returnflag""",
+ coalesce(string_agg(DISTINCT CAST(l_linenumber AS VARCHAR), ' / ' ORDER BY CAST(l_linenumber AS VARCHAR)) FILTER (WHERE l_linestatus = 'O'), '') AS o_lines FROM lineitem GROUP BY l_returnflag""",
     "growth_by_nation": f"WITH {_YEARLY} SELECT b.nation, b.year, round(round_even((CAST(b.value AS DOUBLE) / CAST(a.value AS DOUBLE) - 1) * 100, 6), 4) AS growth_pct FROM y a JOIN y b ON a.nation = b.nation AND b.year = a.year + 1 WHERE a.value > 0",
     "cagr_by_nation": f"WITH {_YEARLY} SELECT nation, CAST(max(year) - min(year) AS INTEGER) AS years, round((pow(CAST(arg_max(value, year) AS DOUBLE) / CAST(arg_min(value, year) AS DOUBLE), 1.0 / (max(year) - min(year))) - 1) * 100, 4) AS cagr_pct FROM y GROUP BY nation HAVING max(year) > min(year)",
     "share_of_region": f"WITH {_SHARE} SELECT nation, year, share_pct FROM sh",
@@ -283,9 +280,10 @@ ORACLES = {
     "unit_conversion": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN round(p_size / 1000.0, 6) WHEN 1 THEN round(p_size / 1000.0, 6) WHEN 2 THEN round(p_size / 10.0, 6) END::DOUBLE AS converted,
  CASE WHEN p_partkey % 4 = 3 THEN 'incompatible' END AS reason FROM part""",
     "decimal_sums": "SELECT l_returnflag, CAST(sum(CAST(l_extendedprice AS DECIMAL(20,2))) AS DOUBLE) AS total, count(*) AS n FROM lineitem GROUP BY l_returnflag",
-    "comparability_pairs": """WITH m AS (SELECT s_suppkey, s_nationkey AS g, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey % 2 END AS sc, s_suppkey % 5 AS u FROM supplier WHERE s_suppkey <= 60)
- SELECT a.s_suppkey AS a, b.s_suppkey AS b, concat_ws(',', CASE WHEN a.sc IS NULL OR b.sc IS NULL THEN 'missing_scope' WHEN a.sc <> b.sc THEN 'different_scope' END, CASE WHEN a.u <> b.u THEN 'different_unit' END) AS reasons
- FROM m a JOIN m b ON a.g = b.g AND a.s_suppkey < b.s_suppkey""",
+    "comparability_classes": f"""WITH {_CLASSES} SELECT a.class AS a, b.class AS b, CASE WHEN a.class = b.class THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END AS pairs,
+ concat_ws(',', CASE WHEN a.sc IS NULL OR b.sc IS NULL THEN 'missing_scope' WHEN a.sc <> b.sc THEN 'different_scope' END, CASE WHEN a.u <> b.u THEN 'different_unit' END) AS reasons
+ FROM c a JOIN c b ON a.g = b.g AND a.class <= b.class""",
+    "comparability_members": f"WITH {_CLASSES} SELECT s_suppkey, class FROM m JOIN c ON m.g = c.g AND m.sc IS NOT DISTINCT FROM c.sc AND m.u = c.u",
     "replay_violations": f"WITH {_YEARLY} SELECT unnest(['ledger', 'recomputed']) AS side, (SELECT count(*) FROM y WHERE nation = 3) AS records WHERE EXISTS (SELECT 1 FROM y WHERE nation = 3)",
-    "dense_claim_ids": "SELECT item_id, 'c' || row_number() OVER (PARTITION BY length(text) ORDER BY item_id) AS dense_id FROM benchmark WHERE item_id < 200",
+    "dense_claim_ids": "SELECT item_id, 'c' || row_number() OVER (PARTITION BY length(text) ORDER BY item_id) AS dense_id FROM benchmark",
 }

@@ -151,10 +151,6 @@ def research_queries(s, d):
     return T(s, d, "part").select("p_partkey", F.explode(X.research_queries(F.col("p_name"))).alias("query"))
 
 
-def research_angles(s, d):  # a sample, as in its SQL; research_queries is over all
-    return T(s, d, "part").where("p_partkey <= 20").select("p_partkey", F.explode(X.research_queries(F.col("p_name"))).alias("query"))
-
-
 def number_support(s, d):
     a = T(s, d, "documents").where(F.col("text").rlike("[0-9]")).select("doc_id", "source", X.numbers(F.col("text")).alias("nums"))
     return a.select("doc_id", F.size("nums").alias("n_numbers"), F.array_join("nums", " ").alias("numbers"))
@@ -176,7 +172,7 @@ def source_merge(s, d):
 QUERIES = [
     host_domains, source_grades, distinct_domains, hit_filter, token_stats, content_terms, sentence_split, passage_split, stems, relevance_density,
     relevance_filter, source_ranking, query_types, slugs, corpus_manifest, manifest_totals, inverted_index_roundtrip, work_identifiers,
-    html_main_text, clean_text, factual_sentences, writing_length, research_angles, research_queries, number_support, search_cache, source_merge,
+    html_main_text, clean_text, factual_sentences, writing_length, research_queries, number_support, search_cache, source_merge,
 ]
 
 _ST = X.topic_stems(TOPIC)
@@ -245,7 +241,7 @@ ORACLES = {
     "factual_sentences": f"""SELECT doc_id, count(*) AS factual, CAST(min(pos) AS INTEGER) AS first_at FROM (SELECT doc_id, unnest(p) AS sentence, unnest(range(len(p))) AS pos FROM (SELECT doc_id, {_SENT} AS p FROM documents))
  WHERE regexp_matches(sentence, '[0-9]') OR regexp_matches(lower(sentence), '\\b(is|are|was|were|has|have|reported|announced|accounts|reached)\\b') GROUP BY doc_id""",
     "writing_length": "SELECT conv_id, CAST(sum(len(regexp_extract_all(text, '[A-Za-z]+')) + len(regexp_extract_all(text, '[一-鿿]'))) AS BIGINT) AS length FROM conversations GROUP BY conv_id",
-    "research_angles": "SELECT p_partkey, replace(a, '{topic}', p_name) AS query FROM part, (SELECT unnest([" + ", ".join(f"'{a}'" for a in X.RESEARCH_ANGLES) + "]) AS a) WHERE p_partkey <= 20",
+    "research_queries": "SELECT p_partkey, replace(a, '{topic}', p_name) AS query FROM part, (SELECT unnest([" + ", ".join(f"'{a}'" for a in X.RESEARCH_ANGLES) + "]) AS a)",
     "number_support": f"SELECT doc_id, CAST(len(n) AS INTEGER) AS n_numbers, array_to_string(n, ' ') AS numbers FROM (SELECT doc_id, {_NUMS} AS n FROM documents WHERE regexp_matches(text, '[0-9]'))",
     "search_cache": "SELECT event_id, left(sha256(event_type || chr(10) || props), 16) AS key FROM events WHERE epoch((SELECT max(ts) FROM events)) // 1 - epoch(ts) // 1 <= 86400",
     "source_merge": """SELECT min(doc_id) AS doc_id FROM documents WHERE doc_id % 2 = 0 GROUP BY text UNION ALL

@@ -39,7 +39,7 @@ def conversation_words(s, d):
 
 
 def complement_merge(s, d):
-    p = T(s, d, "documents").where("source = 'src0'").select("doc_id", F.col("n_chars").alias("o")).withColumn("o", F.col("o") * 1000000 + F.col("doc_id"))
+    p = T(s, d, "documents").select("doc_id", F.col("n_chars").alias("o")).withColumn("o", F.col("o") * 1000000 + F.col("doc_id"))
     e = T(s, d, "labels").where("toxic = 1").select("doc_id", F.col("doc_id").alias("o"))
     return W.complement(p, e, "doc_id", "o", 24)
 
@@ -126,11 +126,11 @@ ORACLES = {
     "tier_cap": "SELECT p_brand, p_partkey, p_size FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) <= 6",
     "budget_fold": """WITH RECURSIVE r AS (SELECT source, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents), w AS (SELECT DISTINCT source, 0 AS k, 0 AS used, '' AS taken FROM documents
  UNION ALL SELECT w.source, r.k, CASE WHEN used + n <= 20000 THEN used + n ELSE used END, CASE WHEN used + n <= 20000 THEN taken || CASE WHEN taken = '' THEN '' ELSE ',' END || (r.k - 1) ELSE taken END
- FROM w JOIN r ON r.source = w.source AND r.k = w.k + 1 WHERE r.k <= 60) SELECT source, arg_max(taken, k) AS taken FROM w GROUP BY source""",
+ FROM w JOIN r ON r.source = w.source AND r.k = w.k + 1) SELECT source, arg_max(taken, k) AS taken FROM w GROUP BY source""",
     "conversation_recent": f"""SELECT conv_id, turn FROM (SELECT conv_id, turn, sum({_WORDS}) OVER (PARTITION BY conv_id) AS w, count(*) OVER (PARTITION BY conv_id) AS c,
  row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE NOT (w > 100 AND c > 6 AND k > 6)""",
     "conversation_words": f"SELECT conv_id, CAST(sum({_WORDS}) AS BIGINT) AS words, count(*) AS turns FROM conversations GROUP BY conv_id",
-    "complement_merge": """WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars * 1000000 + doc_id) - 1 AS n FROM documents WHERE source = 'src0'), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM labels
+    "complement_merge": """WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars * 1000000 + doc_id) - 1 AS n FROM documents), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM labels
  WHERE toxic = 1 AND doc_id NOT IN (SELECT doc_id FROM a)), s AS (SELECT doc_id, n + n // 2 AS slot FROM a WHERE n < 24 UNION ALL SELECT doc_id, 3 * n + 2 FROM b WHERE n < 8)
  SELECT doc_id, CAST(row_number() OVER (ORDER BY slot, doc_id) - 1 AS INTEGER) AS place FROM s QUALIFY place < 24""",
     "origin_spread": """SELECT doc_id, effective FROM (SELECT doc_id, round(n_chars * 1.0::DOUBLE / row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id), 6) AS effective FROM documents) ORDER BY effective DESC, doc_id LIMIT 40""",
