@@ -6,28 +6,29 @@ overlap of ``o(a, b) = ceil(percent * (a + b) / (100 + percent))``.
 
 *Light* sets are those under a boundary size.  Of these all subsets of each size
 ``o`` that a partner may ask for are enumerated; two light sets link exactly if
-they share a subset of the size that their pair asks for, so nothing needs to be
-verified.  *Heavy* sets, and light ones that may have heavy partners, are put in
-inverted lists of their rarest shingles: in one common order of shingles, the
-first ``n - ceil(n * percent / 100) + 1`` of two linked sets must meet.  The
-boundary is the size that makes the estimated cost of both sides least.
+they share a subset of the size that their pair asks for.  *Heavy* sets, and light
+ones that may have heavy partners, are put in inverted lists of their rarest
+shingles: in one common order of shingles, the first
+``n - ceil(n * percent / 100) + 1`` of two linked sets must meet.  The boundary is
+the size that makes the estimated cost of both sides least: the subsets to
+enumerate against the entries that the list scans would meet.
 
 The order puts shingles that many texts share last.  It comes from a count sketch
 of fixed size over all texts; sketch errors change the cost of the lists and never
-the result.  Candidates from the lists pass a size and a position filter, then an
-upper bound on the overlap from parity bitmaps, and are verified on the whole sets.
+the result.
 
-Copies are one set from the start (a set is named by 128 bits).  In a list of more
-than ``LONG`` sets, first each set meets some pivots alone, one for eight sets and at most ``PIVOTS``; what these links
-connect is one group, and only sets of different groups of a list are compared
-after that, by blocks inside a task, so a large group of near copies costs links in
-proportion to its size.  A list that is long by the sketch is cut into parts, and
-each pair of parts is a task's work of bounded size.
+Copies are one set from the start (a set is named by 128 bits), and lists with the
+same sets are one list.  Inside a list, sets pass a size and a position filter and
+an upper bound on the overlap from parity bitmaps.  Of the pairs that pass, a list
+gives a spanning forest and not all of them, so what leaves a task is linear in
+what it reads.  A list of more than ``2 * UNIT`` sets is scanned by pairs of its
+parts, each a piece of work of bounded size.
 
-Links are joined to components by the large-star and small-star steps, rounds of
-joins with group minima, until nothing changes; links never leave the cluster.
-As not all links of a long list are looked at for that, the links of each set are
-counted afterwards, on the whole sets of its component.
+What these forests connect holds every link, and is small.  Inside each such group
+the overlaps of all pairs are counted exactly, by products of blocks: of each set
+the number of its links is returned, and a spanning forest of the links, which are
+joined to components by the large-star and small-star steps, rounds of joins with
+group minima, until nothing changes.  Links never leave the cluster.
 
 Defined results: null and empty texts, and texts without words, have no shingles
 and link with nothing; fewer words than ``k`` form one shingle; rows with equal
@@ -40,6 +41,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -52,16 +54,20 @@ from pyspark.sql import types as T
 
 from quarrylight.session import durable, release
 
+from .names import fresh
 from .shingles import mix, set_key, shingle_sets
 
 BINS = 1 << 20
-LONG, PIVOTS = 16, 24
+#: Sets of a part of a long list, entries of a task's lists, and of a list by the sketch before it is dealt to several tasks.
+UNIT, ENTRIES, PART = 512, 16384, 100_000
 #: Sets and bytes of a part whose links are counted in one task, and shingles of a product there.
 TOGETHER, PART_BYTES, COLUMNS = 512, 8 << 20, 4096
-PART = 100_000
-LARGEST_LIGHT = 16
+#: Sets of more shingles have more subsets to enumerate than their lists could ever cost.
+LARGEST_LIGHT = 64
 BITMAP_MOST = 32768
 BLOOM_MOST = 1 << 27
+#: Sketches or bitmaps that one task sums up.
+FAN_IN = 32
 
 
 def overlap_needed(a, b, percent: int):
@@ -93,7 +99,7 @@ def choose_boundary(sizes: dict[int, int], weight: dict[int, float], percent: in
         for n, sets in sizes.items():
             light = n < x
             if light:
-                cost += sets * sum(math.comb(n, o) for o in subset_sizes(n, x, percent))
+                cost += sets * float(sum(math.comb(n, o) for o in subset_sizes(n, x, percent)))
             if not light or 100 * n // percent >= x:
                 cost += sets * prefix_length(n, percent) + weight.get(n, 0.0)
         if cost < best_cost:
@@ -132,7 +138,7 @@ def _bins(values: np.ndarray) -> np.ndarray:
     return (values & np.uint64(BINS - 1)).astype(np.int64)
 
 
-SURVEY = "id mark key name n bitmap sketch small"
+SURVEY = "id mark key name n bitmap few part sketch"
 
 
 def _name(key: bytes) -> int:
@@ -145,59 +151,89 @@ def _name(key: bytes) -> int:
 
 def _survey(k: int):
     def run(batches):
-        counts, small = np.zeros(BINS, np.uint32), np.zeros(LARGEST_LIGHT + 1, np.int64)
+        counts = np.zeros(BINS, np.uint32)
         seen: set[bytes] = set()
         for batch in batches:
-            keys, sizes, maps = [], [], []
+            keys, sizes, maps, few = [], [], [], []
             for values in shingle_sets(batch.column(1).to_pylist(), k):
                 n = len(values)
                 key = set_key(values) if n else None
                 keys.append(key)
                 sizes.append(n)
                 maps.append(parity_bitmap(values) if n else None)
+                few.append(values.tobytes() if 0 < n <= LARGEST_LIGHT and key not in seen else None)
                 if n and key not in seen:
                     seen.add(key)
                     np.add.at(counts, _bins(values), 1)
-                    if n <= LARGEST_LIGHT:
-                        small[n] += 1
             m = batch.num_rows
             names = [None if key is None else _name(key) for key in keys]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())],
+                [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.array(few, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())],
                 SURVEY.split(),
             )
         ctx = TaskContext.get()
         part = ctx.partitionId() if ctx else 0
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([part], pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary()), pa.array([small.tobytes()], pa.binary())],
-            SURVEY.split(),
-        )
+        empty = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*empty, pa.array([part], pa.int64()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], SURVEY.split())
 
     return run
 
 
-def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    counts, small = np.zeros(BINS, np.uint32), np.zeros(LARGEST_LIGHT + 1, np.int64)
-    for s, t in zip(pdf["sketch"], pdf["small"], strict=True):
-        counts += np.frombuffer(zlib.decompress(s), np.uint32)
-        small += np.frombuffer(t, np.int64)
-    return pd.DataFrame({"n": [0], "sketch": [zlib.compress(counts.tobytes(), 1)], "small": [small.tobytes()]})
+def _by_tree(rows: DataFrame, n: int, join) -> bytes | None:
+    """What ``join`` makes of the column ``data`` of all rows (``part`` from 0 to ``n - 1``), by a tree of fixed fan-in."""
 
+    def level(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [key[0]], "data": [zlib.compress(join([zlib.decompress(d) for d in pdf["data"]]), 1)]})
 
-def _sketch(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of all sketches, by groups of 64 and then of what these give; one of fixed size comes to the driver."""
-    schema = "n long, sketch binary, small binary"
-    rows = parts.where(F.col("sketch").isNotNull()).select("n", "sketch", "small")
-    rows = rows.groupBy(F.expr("n div 64").alias("g")).applyInPandas(_summed_by_group, schema)
-    rows = rows.groupBy(F.lit(0).alias("g")).applyInPandas(_summed_by_group, schema)
+    while n > 1:
+        rows = rows.groupBy(F.expr(f"part div {FAN_IN}").alias("part")).applyInPandas(level, "part long, data binary")
+        n = -(-n // FAN_IN)
     got = rows.collect()
-    if not got:
-        return np.zeros(BINS, np.uint32), np.zeros(LARGEST_LIGHT + 1, np.int64)
-    return np.frombuffer(zlib.decompress(got[0]["sketch"]), np.uint32), np.frombuffer(got[0]["small"], np.int64)
+    return zlib.decompress(got[0]["data"]) if got else None
 
 
-def _summed_by_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    return _summed(pdf).assign(n=key[0])
+def _sketch(first: DataFrame) -> np.ndarray:
+    """The sum of all tasks' sketches; one of fixed size comes to the driver."""
+
+    def join(parts: list[bytes]) -> bytes:
+        counts = np.zeros(BINS, np.uint32)
+        for p in parts:
+            counts += np.frombuffer(p, np.uint32)
+        return counts.tobytes()
+
+    tasks = first.agg(F.max("part")).first()[0]
+    got = _by_tree(first.where(F.col("part").isNotNull()).select("part", F.col("sketch").alias("data")), (tasks or 0) + 1, join)
+    return np.frombuffer(got, np.uint32) if got else np.zeros(BINS, np.uint32)
+
+
+def _ranks(values: np.ndarray, frequency: np.ndarray, noise: float) -> np.ndarray:
+    """Estimated counts of shingles; what the sketch cannot tell from chance counts as rare."""
+    seen_in = frequency[_bins(values)]
+    return np.where(seen_in <= noise, 0, seen_in)
+
+
+def _noise(frequency: np.ndarray) -> float:
+    mean = float(frequency.mean())
+    return mean + 6 * math.sqrt(mean)
+
+
+def _list_costs(first: DataFrame, percent: int, shared) -> tuple[dict[int, int], dict[int, float]]:
+    """Of small sets by size: how many there are, and the other entries that their list scans would meet."""
+
+    def run(batches):
+        frequency = shared.value
+        noise, sets, met = _noise(frequency), Counter(), Counter()
+        for pdf in batches:
+            for packed in pdf["few"]:
+                values = np.frombuffer(packed, np.uint64)
+                ranks = np.sort(_ranks(values, frequency, noise))[: prefix_length(len(values), percent)]
+                sets[len(values)] += 1
+                met[len(values)] += float(np.maximum(ranks.astype(float) - 1, 0).sum())
+        yield pd.DataFrame({"n": list(sets), "sets": list(sets.values()), "met": [met[n] for n in sets]})
+
+    rows = first.where(F.col("few").isNotNull()).select("few").mapInPandas(run, "n int, sets long, met double")
+    got = rows.groupBy("n").agg(F.sum("sets").alias("sets"), F.sum("met").alias("met")).collect()  # LARGEST_LIGHT rows at most
+    return {r["n"]: r["sets"] for r in got}, {r["n"]: r["met"] for r in got}
 
 
 # --- second pass: subsets and list entries, dealt to buckets ---------------------
@@ -208,8 +244,7 @@ def _postings(k: int, percent: int, boundary: int, buckets: int, part: int, shar
 
     def run(batches):
         frequency = shared.value
-        mean = float(frequency.mean())
-        noise = mean + 6 * math.sqrt(mean)  # what the sketch cannot tell from chance counts as rare
+        noise = _noise(frequency)
         seen: set[bytes] = set()
         for batch in batches:
             tokens, names, sizes, places, counts = [], [], [], [], []
@@ -234,8 +269,7 @@ def _postings(k: int, percent: int, boundary: int, buckets: int, part: int, shar
                             counts.append(np.zeros(1, np.uint32))
                     if 100 * n // percent < boundary:
                         continue
-                seen_in = frequency[_bins(values)]
-                rank = np.where(seen_in <= noise, 0, seen_in)
+                rank = _ranks(values, frequency, noise)
                 first = np.lexsort((values, rank))[: prefix_length(n, percent)]
                 tokens.append(values[first])
                 names.append(np.full(len(first), name))
@@ -292,16 +326,6 @@ def _fits(size_a, place_a, size_b, place_b, percent):
     return (np.minimum(size_a, size_b) >= need) & (most >= need)
 
 
-def _lists(entries: np.ndarray):
-    """(from, to) of the lists of two entries and more, the entries being in the order of their tokens."""
-    if not len(entries):
-        return []
-    cut = np.flatnonzero(np.concatenate([[True], entries["token"][1:] != entries["token"][:-1]]))
-    ends = np.concatenate([cut[1:], [len(entries)]])
-    long = ends - cut > 1
-    return list(zip(cut[long].tolist(), ends[long].tolist(), strict=True))
-
-
 def _sorted_entries(packed) -> np.ndarray:
     entries = np.concatenate([np.frombuffer(b, ENTRY) for b in packed]) if len(packed) else np.empty(0, ENTRY)
     entries = entries[np.lexsort((entries["size"], entries["name"], entries["token"]))]
@@ -309,105 +333,200 @@ def _sorted_entries(packed) -> np.ndarray:
     return entries[~again]
 
 
-def _candidates(percent: int, most: int, pivots: int):
-    """Of a bucket: pairs to verify, links that need no more, and the entries of lists that are long."""
+MEMBER = np.dtype([("name", "<u8"), ("size", "<i4"), ("place", "<i4")])
+
+
+def _lists(percent: int, unit: int):
+    """Of a bucket: its lists of two sets and more, one row each; lists of the same sets once.
+
+    ``sure``: a list of a subset, the first set links with all others.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a_side, b_side, sure, long = [], [], [], []
-        for number, mine in pdf.groupby("part"):
+        rows = {}
+        for _, mine in pdf.groupby("part"):
             entries = _sorted_entries(mine["entries"].tolist())
-            two = []  # lists of few entries are worked through together
-            for a, b in _lists(entries):
-                part = entries[a:b]
+            if not len(entries):
+                continue
+            cut = np.flatnonzero(np.concatenate([[True], entries["token"][1:] != entries["token"][:-1]]))
+            ends = np.concatenate([cut[1:], [len(entries)]])
+            members = np.empty(len(entries), MEMBER)
+            members["name"], members["size"], members["place"] = entries["name"], entries["size"], entries["place"]
+            mixed = mix(entries["name"])
+            first, second = np.add.reduceat(mixed, cut), np.add.reduceat(mix(mixed + np.uint64(1)), cut)
+            for a, b, x, y in zip(cut.tolist(), ends.tolist(), first.view(np.int64).tolist(), second.view(np.int64).tolist(), strict=True):
+                if b - a < 2:
+                    continue
+                part = members[a:b]
                 if part["place"][0] < 0:
                     part = part[np.argsort(part["size"], kind="stable")]
                     # The smallest asks for the least overlap, so it links with all that link with any.
-                    ok = overlap_needed(part["size"][0], part["size"][1:], percent) <= -part["place"][0]
-                    a_side.append(np.full(ok.sum(), part["name"][0]))
-                    b_side.append(part["name"][1:][ok])
-                    sure.append(np.ones(ok.sum(), bool))
-                    continue
-                if len(part) <= most:
-                    two.append(part)
-                    continue
-                long.append((number, part))
-                for p in np.argsort(mix(part["name"]), kind="stable")[: min(pivots, 1 + len(part) // 8)]:
-                    ok = _fits(part["size"][p], part["place"][p], part["size"], part["place"], percent)
-                    ok[p] = False
-                    a_side.append(np.full(ok.sum(), part["name"][p]))
-                    b_side.append(part["name"][ok])
-                    sure.append(np.zeros(ok.sum(), bool))
-            for size in {len(p) for p in two}:
-                stack = np.stack([p for p in two if len(p) == size])
-                i, j = np.triu_indices(size, 1)
-                ok = _fits(stack["size"][:, i], stack["place"][:, i], stack["size"][:, j], stack["place"][:, j], percent)
-                a_side.append(stack["name"][:, i][ok])
-                b_side.append(stack["name"][:, j][ok])
-                sure.append(np.zeros(int(ok.sum()), bool))
-        if a_side:
-            x, y, s = np.concatenate(a_side), np.concatenate(b_side), np.concatenate(sure)
-            x, y = np.minimum(x, y), np.maximum(x, y)
-            order = np.lexsort((~s, y, x))
-            x, y, s = x[order], y[order], s[order]
-            new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, bool)
-            x, y, s = x[new], y[new], s[new]
-        else:
-            x = y = np.zeros(0, np.uint64)
-            s = np.zeros(0, bool)
-        pairs = pd.DataFrame({"a": x.view(np.int64), "b": y.view(np.int64), "sure": s, "token": np.zeros(len(x), np.int64), "part": np.full(len(x), -1, np.int64), "size": np.zeros(len(x), np.int32), "place": np.zeros(len(x), np.int32)})
-        if not long:
-            return pairs
-        rows = np.concatenate([part for _, part in long])
-        numbers = np.concatenate([np.full(len(part), number, np.int64) for number, part in long])
-        more = pd.DataFrame({"a": np.ascontiguousarray(rows["name"]).view(np.int64), "b": np.zeros(len(rows), np.int64), "sure": False, "token": np.ascontiguousarray(rows["token"]).view(np.int64), "part": numbers, "size": rows["size"], "place": rows["place"]})
-        return pd.concat([pairs, more])
+                    ok = overlap_needed(part["size"][0], part["size"], percent) <= -part["place"][0]
+                    ok[0] = True
+                    if ok.sum() > 1:
+                        part = part[ok]
+                        rows[x, y, True, int(part["place"][0]), 0] = part.tobytes()
+                elif b - a <= 2 * unit:
+                    rows[x, y, False, 0, 0] = part.tobytes()
+                else:
+                    p = -(-(b - a) // unit)
+                    cuts = np.linspace(0, b - a, p + 1).astype(int)
+                    for n, (i, j) in enumerate(combinations(range(p), 2)):
+                        rows[x, y, False, 0, n] = part[cuts[i] : cuts[i + 1]].tobytes() + part[cuts[j] : cuts[j + 1]].tobytes()
+        return pd.DataFrame([(*k, v) for k, v in rows.items()], columns=["x", "y", "sure", "o", "n", "members"])
 
     return run
 
 
-# --- verification ---------------------------------------------------------------
+def _members(batches):
+    """Rows of lists to rows of their sets."""
+    for pdf in batches:
+        count = pdf["members"].str.len().to_numpy(np.int64) // MEMBER.itemsize
+        rows = np.frombuffer(b"".join(pdf["members"]), MEMBER)
+        of = lambda c: np.repeat(pdf[c].to_numpy(), count)
+        at = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+        for a in range(0, len(rows), 20_000):
+            part = slice(a, a + 20_000)
+            yield pd.DataFrame(
+                {"list": of("list")[part], "sure": of("sure")[part], "at": at[part], "name": np.ascontiguousarray(rows["name"]).view(np.int64)[part], "size": rows["size"][part], "place": rows["place"][part]}
+            )
+
 
+# --- the forests of lists -------------------------------------------------------
+
+
+def _apart(maps: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits the bitmaps of the pairs (i, j) differ, folded to the narrower of both."""
+    width = np.array([len(m) for m in maps], np.int64)
+    out, narrow = np.zeros(len(i), np.int64), np.minimum(width[i], width[j])
+    for w in np.unique(narrow).tolist():
+        pairs = np.flatnonzero(narrow == w)
+        used, where = np.unique(np.concatenate([i[pairs], j[pairs]]), return_inverse=True)
+        folded = np.stack([_folded(maps[u], w) for u in used.tolist()]).view(np.uint64)
+        x, y, step = where[: len(pairs)], where[len(pairs) :], max(1, (4 << 20) // w)
+        for a in range(0, len(pairs), step):
+            part = slice(a, a + step)
+            out[pairs[part]] = np.bitwise_count(folded[x[part]] ^ folded[y[part]]).sum(axis=1)
+    return out
+
+
+def _spanning(n: int, adjacent: np.ndarray) -> np.ndarray:
+    """The parent of each vertex in a spanning forest of a graph (n x n, boolean); roots are their own."""
+    parent, open_ = np.arange(n), np.ones(n, bool)
+    for seed in range(n):
+        if not open_[seed]:
+            continue
+        open_[seed] = False
+        front = np.array([seed])
+        while len(front):
+            reach = adjacent[front][:, :] & open_
+            new = np.flatnonzero(reach.any(axis=0))
+            parent[new] = front[reach[:, new].argmax(axis=0)]
+            open_[new] = False
+            front = new
+    return parent
 
-def _bitmap_filter(percent: int):
-    def run(batches):
-        for pdf in batches:
-            ok = [may_link(*r, percent) for r in zip(pdf["n_a"], pdf["map_a"], pdf["n_b"], pdf["map_b"], strict=True)]
-            yield pdf.loc[np.array(ok, bool), ["a", "b"]]
+
+def _forest(percent: int):
+    """Of a task's lists: pairs of sets that may link, and connect all sets that do (through others)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = np.lexsort((pdf["at"].to_numpy(), pdf["list"].to_numpy()))
+        size, place = pdf["size"].to_numpy(np.int64)[order], pdf["place"].to_numpy(np.int64)[order]
+        lists, sure = pdf["list"].to_numpy()[order], pdf["sure"].to_numpy(bool)[order]
+        node, keys = pd.factorize(pdf["key"].to_numpy()[order])
+        maps = pdf["bitmap"].to_numpy()[order].tolist()
+        group = np.arange(len(keys))
+
+        def root(v: int) -> int:
+            while group[v] != v:
+                group[v] = v = group[group[v]]
+            return v
+
+        us, vs = [], []
+
+        def joined(i: np.ndarray, j: np.ndarray) -> None:
+            for a, b in zip(node[i].tolist(), node[j].tolist(), strict=True):
+                x, y = root(a), root(b)
+                if x != y:
+                    group[max(x, y)] = min(x, y)
+                    us.append(a)
+                    vs.append(b)
+
+        def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Which of the pairs pass all filters."""
+            ok = np.flatnonzero(_fits(size[i], place[i], size[j], place[j], percent))
+            apart = _apart(maps, i[ok], j[ok])
+            good = (size[i[ok]] + size[j[ok]] - apart) // 2 >= overlap_needed(size[i[ok]], size[j[ok]], percent)
+            return ok[good]
+
+        cut = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]])) if len(lists) else np.zeros(0, int)
+        length = np.diff(np.append(cut, len(lists)))
+        for a in cut[sure[cut]].tolist():
+            n = int(length[np.searchsorted(cut, a)])
+            joined(np.full(n - 1, a), np.arange(a + 1, a + n))
+        plain = ~sure[cut]
+        for a, n in sorted(zip(cut[plain].tolist(), length[plain].tolist(), strict=True), key=lambda t: -t[1]):
+            if n <= 16:
+                break
+            here = np.array([root(v) for v in node[a : a + n].tolist()])
+            i, j = np.triu_indices(n, 1)
+            apart = here[i] != here[j]
+            i, j = i[apart], j[apart]
+            good = may(a + i, a + j)
+            adjacent = np.zeros((n, n), bool)
+            adjacent[i[good], j[good]] = adjacent[j[good], i[good]] = True
+            parent = _spanning(n, adjacent)
+            child = np.flatnonzero(parent != np.arange(n))
+            joined(a + child, a + parent[child])
+        for n in range(2, 17):
+            starts = cut[plain & (length == n)]
+            if len(starts):
+                i, j = np.triu_indices(n, 1)
+                i, j = (starts[:, None] + i).ravel(), (starts[:, None] + j).ravel()
+                good = may(i, j)
+                joined(i[good], j[good])
+        return pd.DataFrame({"u": keys[us] if us else [], "v": keys[vs] if vs else []})
 
     return run
 
 
+# --- sets by name ---------------------------------------------------------------
+
+
 def _bloom_spots(names: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(mix(names + np.uint64(s)) % np.uint64(bits)).astype(np.int64) for s in (1, 2, 3, 4)])
 
 
-def _bloom(names: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of fixed size over the column ``name``; one bitmap per group of tasks, then one."""
+def _bloom(names: DataFrame, bits: int, n: int) -> np.ndarray:
+    """A Bloom filter of fixed size over the ``n`` rows of the column ``name``."""
 
     def build(batches):
         have = np.zeros(bits // 8, np.uint8)
         for pdf in batches:
             spots = np.unique(_bloom_spots(pdf["name"].to_numpy(np.int64).view(np.uint64), bits))
             np.bitwise_or.at(have, spots // 8, (1 << (spots % 8)).astype(np.uint8))
-        yield pd.DataFrame({"g": [TaskContext.get().partitionId() if TaskContext.get() else 0], "data": [zlib.compress(have.tobytes(), 1)]})
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId() if TaskContext.get() else 0], "data": [zlib.compress(have.tobytes(), 1)]})
 
-    def join(pdf):
+    def join(parts: list[bytes]) -> bytes:
         have = np.zeros(bits // 8, np.uint8)
-        for d in pdf["data"]:
-            have |= np.frombuffer(zlib.decompress(d), np.uint8)
-        return pd.DataFrame({"g": [0], "data": [zlib.compress(have.tobytes(), 1)]})
+        for p in parts:
+            have |= np.frombuffer(p, np.uint8)
+        return have.tobytes()
 
-    rows = names.mapInPandas(build, "g int, data binary")
-    rows = rows.groupBy(F.expr("g div 64")).applyInPandas(join, "g int, data binary")
-    rows = rows.groupBy("g").applyInPandas(join, "g int, data binary")
-    got = rows.collect()
-    return np.frombuffer(zlib.decompress(got[0]["data"]), np.uint8) if got else np.zeros(bits // 8, np.uint8)
+    tasks = max(1, math.ceil(n / 1_000_000))
+    got = _by_tree(names.repartition(tasks).mapInPandas(build, "part long, data binary"), tasks, join)
+    return np.frombuffer(got, np.uint8) if got else np.zeros(bits // 8, np.uint8)
+
+
+def _bloom_bits(n: int) -> int:
+    return min(BLOOM_MOST, max(1 << 16, 1 << (16 * n).bit_length()))
 
 
-def _wanted_sets(texts: DataFrame, k: int, names: DataFrame) -> DataFrame:
-    """(name, key, values) of the sets that ``names`` asks for, one row per set."""
-    bits = min(BLOOM_MOST, max(1 << 16, 1 << (16 * names.count()).bit_length()))
-    shared = texts.sparkSession.sparkContext.broadcast(_bloom(names, bits))
+def _wanted_sets(texts: DataFrame, k: int, names: DataFrame, n: int) -> DataFrame:
+    """(key, values) of the sets that the ``n`` rows of ``names`` ask for and some others, one row per set."""
+    bits = _bloom_bits(n)
+    shared = texts.sparkSession.sparkContext.broadcast(_bloom(names, bits, n))
 
     def run(batches):
         have, seen = shared.value, set()
@@ -421,49 +540,11 @@ def _wanted_sets(texts: DataFrame, k: int, names: DataFrame) -> DataFrame:
                 spots = _bloom_spots(name, bits)[:, 0]
                 if key not in seen and ((have[spots // 8] >> (spots % 8)) & 1).all():
                     seen.add(key)
-                    out.append((_name(key), key, values.tobytes()))
-            cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["name", "key", "values"])
+                    out.append((key, values.tobytes()))
+            cols = list(zip(*out, strict=True)) if out else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary())], ["key", "values"])
 
-    sets = texts.mapInArrow(run, "name long, key binary, values binary")
-    return sets.join(names, "name", "left_semi").dropDuplicates(["key"])
-
-
-def _verified(percent: int):
-    def run(batches):
-        for pdf in batches:
-            a_keys, b_keys = [], []
-            for ka, va, kb, vb in zip(pdf["key_a"], pdf["values_a"], pdf["key_b"], pdf["values_b"], strict=True):
-                x, y = np.frombuffer(va, np.uint64), np.frombuffer(vb, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                if int((both[1:] == both[:-1]).sum()) >= overlap_needed(len(x), len(y), percent):
-                    a_keys.append(ka)
-                    b_keys.append(kb)
-            yield pd.DataFrame({"u": a_keys, "v": b_keys})
-
-    return run
-
-
-def _links(pairs: DataFrame, sets: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs of names (a, b), those of linked sets, as pairs of keys (u, v)."""
-    small = sets.select(F.col("name"), F.col("n"), F.col("bitmap"))
-    side = lambda s: small.select(F.col("name").alias(s), F.col("n").alias(f"n_{s}"), F.col("bitmap").alias(f"map_{s}"))
-    left = durable(
-        pairs.select("a", "b")
-        .dropDuplicates()
-        .join(side("a"), "a")
-        .join(side("b"), "b")
-        .mapInPandas(_bitmap_filter(percent), "a long, b long"),
-        "pairs",
-    )
-    names = left.select(F.explode(F.array("a", "b")).alias("name")).dropDuplicates()
-    found = durable(_wanted_sets(texts, k, names), "sets")
-    whole = lambda s: found.select(F.col("name").alias(s), F.col("key").alias(f"key_{s}"), F.col("values").alias(f"values_{s}"))
-    out = durable(left.join(whole("a"), "a").join(whole("b"), "b").select("key_a", "values_a", "key_b", "values_b").mapInPandas(_verified(percent), "u binary, v binary"), "links")
-    release(left)
-    release(found)
-    return out
+    return texts.mapInArrow(run, "key binary, values binary").dropDuplicates(["key"])
 
 
 # --- components -----------------------------------------------------------------
@@ -492,110 +573,103 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("v"), F.col("v").alias("root")).union(roots.select("v", F.col("v").alias("root")))
 
 
-# --- links within a component ---------------------------------------------------
+# --- links within a group -------------------------------------------------------
+
+
+def _overlaps(values: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each two sets share, by products of blocks of columns."""
+    n = np.array([len(v) for v in values], np.int64)
+    if len(values) == 2:
+        common = len(np.intersect1d(*values, assume_unique=True))
+        return np.array([[n[0], common], [common, n[1]]])
+    row = np.repeat(np.arange(len(n)), n)
+    _, column, held = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+    shared = held[column] > 1
+    row, column = row[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(n), len(n)), np.float32)  # no set has 2**24 shingles in common with another
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [a, a + COLUMNS]))
+        has = np.zeros((len(n), min(COLUMNS, int(column[-1]) + 1 - a)), np.float32)
+        has[row[part], column[part] - a] = 1
+        both += has @ has.T
+    return both
 
 
-def _counts(percent: int):
-    """Of two parts x and y of a component (or one part, x = y): how many links between them each set has."""
+def _linked(percent: int):
+    """Of the groups of a task, or two parts x and y of a group (or one, x = y): per set the number of its links between
+    them, and its parent in a spanning forest of these links (itself: none)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = [np.frombuffer(v, np.uint64) for v in pdf["values"]]
-        mine, n = pdf["mine"].to_numpy(np.int64), np.array([len(v) for v in values], np.int64)
-        row = np.repeat(np.arange(len(n)), n)
-        _, column, held = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
-        shared = held[column] > 1
-        row, column = row[shared], column[shared]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        both = np.zeros((len(n), len(n)), np.float32)  # overlaps; no set has 2**24 shingles in common with another
-        for a in range(0, len(held), COLUMNS):
-            part = slice(*np.searchsorted(column, [a, a + COLUMNS]))
-            if part.start == part.stop:
-                continue
-            has = np.zeros((len(n), COLUMNS), np.float32)
-            has[row[part], column[part] - a] = 1
-            both += has @ has.T
-        linked = both >= overlap_needed(n[:, None], n[None, :], percent)
-        np.fill_diagonal(linked, False)
-        if pdf["x"].iloc[0] != pdf["y"].iloc[0]:
-            linked &= mine[:, None] != mine[None, :]
-        return pd.DataFrame({"key": pdf["key"], "links": linked.sum(axis=1).astype(np.int64)})
+        keys, parents, links = [], [], []
+        for (_, x, y), part in pdf.groupby(["root", "x", "y"], sort=False):
+            values = [np.frombuffer(v, np.uint64) for v in part["values"]]
+            n, mine, own = np.array([len(v) for v in values], np.int64), part["mine"].to_numpy(np.int64), part["key"].to_numpy()
+            linked = _overlaps(values) >= overlap_needed(n[:, None], n[None, :], percent)
+            np.fill_diagonal(linked, False)
+            if x != y:
+                linked &= mine[:, None] != mine[None, :]
+            keys += own.tolist()
+            parents += own[_spanning(len(n), linked)].tolist()
+            links += linked.sum(axis=1).tolist()
+        return pd.DataFrame({"key": keys, "parent": parents, "links": np.array(links, np.int64)})
 
     return run
 
 
-def _link_counts(rooted: DataFrame, texts: DataFrame, k: int, percent: int, together: int) -> DataFrame:
-    """(key, links) of sets (key, name, n, root) in components of two sets and more.
+def _links(groups: DataFrame, texts: DataFrame, k: int, percent: int, together: int, tasks: int) -> DataFrame:
+    """(key, parent, links) of the sets (key, name, n, root) of groups; every link is inside a group.
 
-    Every link is inside a component.  One of many sets is cut into parts of about ``together`` sets and
-    ``PART_BYTES``; each pair of parts is a task's work, which returns counts and no pairs.
+    A large group is cut into parts of about ``together`` sets and ``PART_BYTES``; each pair of parts is
+    a task's work.  Small groups are worked through together.
     """
-    sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
+    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles"))
     parts = F.greatest(F.ceil(F.col("sets") / together), F.ceil(F.col("shingles") * 8 / PART_BYTES)).cast("int")
-    many = durable(rooted.join(sizes.where("sets > 1"), "root").select("key", "name", "root", "sets", parts.alias("parts")), "linked")
-    found = _wanted_sets(texts, k, many.where("sets > 2").select("name"))
+    many = durable(groups.join(sizes, "root").select("key", "name", "n", "root", parts.alias("parts")), "grouped")
+    total = many.agg(F.count(F.lit(1)).alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
+    if not total["sets"]:
+        return many.select("key", F.col("key").alias("parent"), F.lit(0).cast("long").alias("links"))
+    found = _wanted_sets(texts, k, many.select("name"), total["sets"])
+    tasks = max(tasks, math.ceil(8 * total["shingles"] / PART_BYTES))
+    small = F.pmod(F.xxhash64("root"), F.lit(tasks))
     dealt = (
-        found.select("key", "values")
-        .join(many.where("sets > 2").select("key", "root", "parts"), "key")
+        found.join(many, "key")
         .withColumn("mine", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", "values", "root", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
+        .select("key", "values", "root", "parts", "mine", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"))
+        .withColumn("task", F.when(F.col("parts") == 1, small).otherwise(F.xxhash64("root", "x", "y")))
+        .drop("parts")
     )
-    counted = dealt.groupBy("root", "x", "y").applyInPandas(_counts(percent), "key binary, links long")
-    return counted.groupBy("key").agg(F.sum("links").alias("links")).union(many.where("sets = 2").select("key", F.lit(1).cast("long")))
+    return durable(dealt.groupBy("task").applyInPandas(_linked(percent), "key binary, parent binary, links long"), "links")
 
 
 # --- the operator ---------------------------------------------------------------
 
 
-def _cross(percent: int):
-    """Pairs of a long list whose sets are in different groups and may link."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("size", kind="stable")
-        names, size, place = pdf["a"].to_numpy(np.int64), pdf["size"].to_numpy(np.int32), pdf["place"].to_numpy(np.int32)
-        group, maps = pd.factorize(pdf["group"])[0], pdf["bitmap"].tolist()
-        width = np.array([len(m) for m in maps])
-        folded = {int(w): np.stack([_folded(m, int(w)) if len(m) >= w else np.zeros(w, np.uint8) for m in maps]) for w in np.unique(width)}
-        xs, ys = [], []
-        for i in range(len(names)):
-            j = np.arange(i + 1, np.searchsorted(size, 100 * size[i] // percent, side="right"))
-            if not len(j):
-                continue
-            j = j[(group[j] != group[i]) & _fits(size[i], place[i], size[j], place[j], percent)]
-            for w in np.unique(np.minimum(width[i], width[j])):
-                x = j[np.minimum(width[i], width[j]) == w]
-                apart = _ONES[folded[w][x] ^ _folded(maps[i], w)].sum(axis=1)
-                x = x[(size[i] + size[x].astype(np.int64) - apart) // 2 >= overlap_needed(int(size[i]), size[x].astype(np.int64), percent)]
-                xs.append(np.minimum(names[i], names[x]))
-                ys.append(np.maximum(names[i], names[x]))
-        cat = lambda parts: np.concatenate(parts) if parts else np.array([], np.int64)
-        return pd.DataFrame({"a": cat(xs), "b": cat(ys)})
-
-    return run
-
-
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without near duplicates: of each component the row with the smallest id stays.
 
     Rows without words are no copies of anything and stay; of rows with equal ids the one with the
     smallest hash of its text stays, of rows that are equal one; rows without an id give way to others.
+    Further columns may have any names.
     """
-    found = durable(
-        classes(docs, k, percent, id_col, text_col, count=False).where(F.col("component_key").isNotNull()).select("id", "mark", "component_key"), "classes"
-    )
+    found = durable(classes(docs, k, percent, id_col, text_col).where(F.col("component_key").isNotNull()).select("id", "mark", "component_key"), "classes")
     pick = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("mark"))
     stays = found.groupBy("component_key").agg(F.min(pick).alias("pick")).select("component_key", "pick.id", "pick.mark")
     kept = found.alias("f").join(stays.alias("s"), (F.col("f.component_key") == F.col("s.component_key")) & F.col("f.id").eqNullSafe(F.col("s.id")) & (F.col("f.mark") == F.col("s.mark")), "left_anti")
-    goes = kept.select(F.col("id").alias("_goes_id"), F.col("mark").alias("_goes_mark")).dropDuplicates()
+    goes_id, goes_mark, flag_col = (fresh(c, docs.columns) for c in ("goes_id", "goes_mark", "may_go"))
+    goes = kept.select(F.col("id").alias(goes_id), F.col("mark").alias(goes_mark)).dropDuplicates()
     text_mark = F.xxhash64(text_col)
     goes = durable(goes, "goes")
     # Texts stay where they are: a Bloom filter of bounded size lets most rows that stay pass at once,
     # and only the others (those that go, and its false positives) meet the exact list.
     both = lambda i, m: F.xxhash64(i, m)
-    names = goes.select(both(F.col("_goes_id"), F.col("_goes_mark")).alias("name"))
-    bits = min(BLOOM_MOST, max(1 << 16, 1 << (16 * names.count()).bit_length()))
-    shared = docs.sparkSession.sparkContext.broadcast(_bloom(names, bits))
+    names = goes.select(both(F.col(goes_id), F.col(goes_mark)).alias("name"))
+    n = names.count()
+    bits = _bloom_bits(n)
+    shared = docs.sparkSession.sparkContext.broadcast(_bloom(names, bits, n))
 
     def may_go(names: pd.Series) -> pd.Series:
         have = shared.value
@@ -603,81 +677,75 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "d
         return pd.Series(((have[spots // 8] >> (spots % 8)) & 1).all(axis=0))
 
     flag = F.pandas_udf(may_go, T.BooleanType())
-    marked = docs.withColumn("_may_go", flag(both(F.col(id_col).cast("long"), text_mark)))
-    exact = (F.col(id_col).cast("long").eqNullSafe(F.col("_goes_id"))) & (text_mark == F.col("_goes_mark"))
-    rest = marked.where("_may_go").join(goes, exact, "left_anti")
-    out = marked.where("not _may_go").unionByName(rest).drop("_may_go")
+    marked = docs.withColumn(flag_col, flag(both(F.col(id_col).cast("long"), text_mark)))
+    exact = (F.col(id_col).cast("long").eqNullSafe(F.col(goes_id))) & (text_mark == F.col(goes_mark))
+    rest = marked.where(F.col(flag_col)).join(goes, exact, "left_anti")
+    out = marked.where(~F.col(flag_col)).unionByName(rest).drop(flag_col)
     again = found.groupBy("id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(stays, ["mark"]).limit(1)
     if again.count():  # rows that stay are repeated: one of each, rows without words untouched
         has_words = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-        once = out.where(has_words).withColumn("_mark", text_mark).dropDuplicates([id_col, "_mark"]).drop("_mark")
+        mark_col = fresh("mark", docs.columns)
+        once = out.where(has_words).withColumn(mark_col, text_mark).dropDuplicates([id_col, mark_col]).drop(mark_col)
         out = once.unionByName(out.where(~has_words))
     return out
 
 
-def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", boundary: int | None = None, buckets: int | None = None, long: int = LONG, pivots: int = PIVOTS, part: int = PART, together: int = TOGETHER, count: bool = True) -> DataFrame:
+def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", boundary: int | None = None, buckets: int | None = None, unit: int = UNIT, part: int = PART, together: int = TOGETHER) -> DataFrame:
     """Per row: ``id``, ``n_shingles``, ``component_id`` (the smallest id reachable by links), ``set_key`` and ``links``,
     besides ``mark`` (a hash of the text, to tell rows of one id apart) and ``component_key`` (null without shingles).
 
     ``set_key`` names the row's class of equal sets (null without shingles).  ``links`` is the
-    number of other classes that its class links with (null without ``count``).  Lists of more than ``long`` sets start with
-    at most ``pivots`` sets; a list is cut into parts of about ``part`` sets.
+    number of other classes that its class links with.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
     texts = rows.select("text")
-    first = durable(rows.mapInArrow(_survey(k), "id long, mark long, key binary, name long, n long, bitmap binary, sketch binary, small binary"), "survey")
-    members = first.where(F.col("sketch").isNull()).select("id", "mark", "key", "name", "n", "bitmap")
-    frequency, small = _sketch(first)
+    schema = "id long, mark long, key binary, name long, n long, bitmap binary, few binary, part long, sketch binary"
+    first = durable(rows.mapInArrow(_survey(k), schema), "survey")
+    members = first.where(F.col("part").isNull()).select("id", "mark", "key", "name", "n", "bitmap")
+    frequency = _sketch(first)
+    shared = spark.sparkContext.broadcast(frequency)  # BINS counts
     if boundary is None:
-        mean = float(frequency.mean()) + 1.0
-        sizes = {n: int(c) for n, c in enumerate(small) if c and n}
-        weight = {n: c * prefix_length(n, percent) * min(float(c), mean) for n, c in sizes.items()}
-        boundary = choose_boundary(sizes, weight, percent)
+        boundary = choose_boundary(*_list_costs(first, percent, shared), percent)
     sets = durable(
         members.where(F.col("key").isNotNull())
         .groupBy("key", "name", "n", "bitmap")
         .agg(F.min("id").alias("least_id")),
         "sets",
     )
+    tasks = min(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     entries = int(frequency.sum(dtype=np.int64)) * (100 - percent) // 100
-    buckets = buckets or max(8, math.ceil(entries / 1_000_000), min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    shared = spark.sparkContext.broadcast(frequency)  # BINS counts
+    buckets = buckets or max(8, math.ceil(entries / 1_000_000), tasks)
     packed = texts.mapInArrow(_postings(k, percent, boundary, buckets, part, shared), "bucket int, part long, entries binary")
-    found = durable(
-        packed.groupBy("bucket").applyInPandas(_candidates(percent, long, pivots), "a long, b long, sure boolean, token long, part long, size int, place int"), "candidates"
+    lists = packed.groupBy("bucket").applyInPandas(_lists(percent, unit), "x long, y long, sure boolean, o int, n int, members binary")
+    lists = durable(lists.groupBy("x", "y", "sure", "o", "n").agg(F.first("members").alias("members")).select(F.xxhash64("x", "y", "sure", "o", "n").alias("list"), "sure", "members"), "lists")
+    met = lists.agg(F.coalesce(F.sum(F.octet_length("members")), F.lit(0))).first()[0] // MEMBER.itemsize
+    bucket = F.pmod(F.xxhash64("list"), F.lit(max(tasks, math.ceil(met / ENTRIES))))
+    forests = (
+        lists.mapInPandas(_members, "list long, sure boolean, at int, name long, size int, place int")
+        .join(sets.select("name", "key", "n", "bitmap"), "name")
+        .where(F.col("size") == F.col("n"))
+        .select("list", "sure", "at", "size", "place", "key", "bitmap")
+        .groupBy(bucket.alias("task"))
+        .applyInPandas(_forest(percent), "u binary, v binary")
     )
-    is_list = F.col("part") >= 0
-    key_of = lambda s: sets.select(F.col("name").alias(s), F.col("key").alias(f"key_{s}"))
-    sure = found.where(~is_list & F.col("sure")).join(key_of("a"), "a").join(key_of("b"), "b").select(F.col("key_a").alias("u"), F.col("key_b").alias("v"))
-    links = durable(sure.union(_links(found.where(~is_list & ~F.col("sure")), sets, texts, k, percent)).dropDuplicates(), "all-links")
-    roots = components(links)
-    listed = found.where(is_list)
-    if listed.limit(1).count():
-        roots = durable(roots, "roots")
-        listed = (
-            listed.join(sets.select(F.col("name").alias("a"), "key", "bitmap"), "a")
-            .join(roots.select(F.col("v").alias("key"), "root"), "key", "left")
-            .withColumn("group", F.coalesce("root", "key"))
-        )
-        open_lists = listed.groupBy("token", "part").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("token", "part")
-        rest = listed.join(open_lists, ["token", "part"]).select("token", "part", "a", "size", "place", "bitmap", "group")
-        more = _links(rest.groupBy("token", "part").applyInPandas(_cross(percent), "a long, b long"), sets, texts, k, percent)
-        links = durable(links.union(more).dropDuplicates(), "all-links")
-        roots = components(links)
+    forests = durable(forests, "forests")
+    groups = sets.select("key", "name", "n").join(components(forests).select(F.col("v").alias("key"), "root"), "key")
+    linked = _links(groups, texts, k, percent, together, tasks)
+    roots = components(linked.where("key <> parent").select(F.col("key").alias("u"), F.col("parent").alias("v")))
+    counted = linked.groupBy("key").agg(F.sum("links").alias("links"))
     rooted = (
-        sets.select("key", "name", "n", "least_id")
+        sets.select("key", "least_id")
         .join(roots.select(F.col("v").alias("key"), "root"), "key", "left")
-        .withColumn("root", F.coalesce("root", "key"))
+        .join(counted, "key", "left")
+        .select("key", "least_id", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     )
-    number = F.lit(None).cast("long")
-    if count:
-        rooted = durable(rooted, "rooted")
-        rooted = rooted.join(_link_counts(rooted, texts, k, percent, together), "key", "left")
-        number = F.coalesce("links", F.lit(0))
+    rooted = durable(rooted, "rooted")
+    for done in (lists, forests, linked):
+        release(done)
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_key = rooted.join(least, "root").select("key", F.col("root").alias("component_key"), "component_id", number.alias("links"))
+    by_key = rooted.join(least, "root").select("key", F.col("root").alias("component_key"), "component_id", "links")
     return (
         members.join(by_key, "key", "left")
-        .select("id", "mark", "component_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("key").alias("set_key"), (F.coalesce("links", F.lit(0)) if count else number).cast("long").alias("links"))
+        .select("id", "mark", "component_key", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("key").alias("set_key"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     )

@@ -1,8 +1,8 @@
-"""Word shingles of whole texts as sets of 64-bit numbers, computed over byte buffers.
+"""Word shingles of whole texts as sets of 64-bit numbers.
 
 Words are maximal runs of bytes other than ASCII white space, after lower-casing
-A-Z.  A word's number is a polynomial hash of its bytes, taken for all words of
-a batch from one running sum; a shingle's number mixes those of its words.
+A-Z.  A word's number is a keyed hash of its bytes, kept in a bounded table; a
+shingle's number mixes those of its words, over arrays.
 """
 
 from __future__ import annotations
@@ -12,25 +12,23 @@ import hashlib
 import numpy as np
 
 MASK = (1 << 64) - 1
-BASE = 0x9E3779B97F4A7C15 | 1
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
-_INVERSE = pow(BASE, -1, 1 << 64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = np.frombuffer(hashlib.shake_256(b"quarrylight byte values").digest(256 * 8), "<u8") | np.uint64(1)
-_powers: dict[int, np.ndarray] = {}
+WORDS_KEPT = 400_000
 
 
-def _power_table(which: int, n: int) -> np.ndarray:
-    """The first ``n`` powers of ``which`` modulo 2**64."""
-    have = _powers.get(which)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        have = np.full(size, which & MASK, np.uint64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        _powers[which] = have
-    return have
+class _Numbers(dict):
+    """Word to number; starts anew when it is full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        number = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"quarrylight words").digest(), "little")
+        if len(word) <= 64:
+            self[word] = number
+        return number
+
+
+_number = _Numbers()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -42,24 +40,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each ``data[start:end]`` (uint8)."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power_table(BASE, len(data))[: len(data)], out=total[1:])
-    raw = (total[ends] - total[starts]) * _power_table(_INVERSE, len(data) + 1)[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * STEP)
-
-
 def _words(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, and the first word's index of each text (one more at the end)."""
+    """Numbers of all words of all texts, and the first word's index of each text (one more at the end)."""
     parts = [b"" if t is None else t.encode("utf-8", "surrogatepass").lower() for t in texts]
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    data = np.frombuffer(b" " + b" ".join(parts) + b" ", np.uint8)
-    first_byte = np.concatenate([[1], 1 + np.cumsum(lengths + 1)])
-    space = _SPACE[data]
-    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    return span_hashes(data, starts, ends), np.searchsorted(starts, first_byte)
+    words = [p.split() for p in parts]  # of bytes: at ASCII white space
+    at = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
+    numbers = np.empty(int(at[-1]), np.uint64)
+    for w, a, b in zip(words, at[:-1], at[1:], strict=True):
+        numbers[a:b] = np.fromiter(map(_number.__getitem__, w), np.uint64, len(w))
+    return numbers, at
 
 
 def _shingles(texts: list, k: int) -> list[np.ndarray]:

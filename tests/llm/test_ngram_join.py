@@ -94,11 +94,11 @@ def test_drifting_groups(spark, seed, k, percent, boundary):
     assert joined(spark, data, k, percent, boundary=boundary) == brute(data, k, percent)
 
 
-def test_long_lists_pivots_and_parts(spark):
+def test_long_lists_are_scanned_in_parts(spark):
     data = made(7, groups=6, size=60, most=70)
     want = brute(data, 3, 75)
     docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
-    got = ngram_join.classes(docs, 3, 75, boundary=0, buckets=3, long=4, pivots=1, part=7).collect()
+    got = ngram_join.classes(docs, 3, 75, boundary=0, buckets=3, unit=4, part=7, together=9).collect()
     assert Counter((r.id, r.n_shingles, r.component_id) for r in got) == want
 
 
