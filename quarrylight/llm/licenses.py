@@ -8,7 +8,8 @@
   for a template if
 
   - prefix filter: it holds one of the ``|T| - a + 1`` rarest tokens of the
-    template T, where ``a = ceil(t * |T|)`` is the least overlap;
+    template T, where ``a = ceil(t * |T|)`` is the least overlap and ``t`` the
+    template's own threshold;
   - length filter: it has at least ``a`` distinct tokens of the vocabulary;
   - positional filter: from the first common token on, both sides have enough
     tokens left to reach ``a``.
@@ -35,20 +36,25 @@ GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-#: label, notice, tokens that a match must have whatever its containment.
+#: label, notice, least containment: fixed texts of notices in common use, one paragraph each.  Short ones must be there whole.
 TEMPLATES = (
-    ("mit", "released under the mit license", "mit"),
-    ("mit", "licensed under the mit license", "mit"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", "granted"),
-    ("apache-2", "licensed under the apache license version 2 0", "apache"),
-    ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc nc"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "commons noncommercial"),
-    ("cc-by", "licensed under cc by 4 0", "cc by 4"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu 3"),
-    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3", "gnu 3"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla"),
+    ("mit", "released under the mit license", 1.0),
+    ("mit", "licensed under the mit license", 1.0),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", 0.8),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", 0.8),
+    ("apache-2", "licensed under the apache license version 2 0", 1.0),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", 0.8),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", 0.8),
+    ("cc-by-nc", "licensed under cc by nc 4 0", 1.0),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", 0.9),
+    ("cc-by", "licensed under cc by 4 0", 1.0),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3", 1.0),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", 0.9),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", 0.8),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", 0.8),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", 0.8),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", 0.8),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", 0.8),
 )
 
 
@@ -101,9 +107,9 @@ def _blocks(text: Column) -> Column:
     return F.array_distinct(F.concat(F.split(text, r"\r?\n", -1), F.split(text, r"\r?\n[\x20\t]*\r?\n", -1)))
 
 
-def template_matches(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATES, key: str = "key", text_col: str = "text") -> DataFrame:
+def template_matches(docs: DataFrame, templates=TEMPLATES, key: str = "key", text_col: str = "text") -> DataFrame:
     """One row per (``key``, label): the best containment of a template in a block of the document."""
-    sets = [(i, label, list(dict.fromkeys(notice.split())), need.split()) for i, (label, notice, need) in enumerate(templates)]
+    sets = [(i, label, list(dict.fromkeys(notice.split())), least) for i, (label, notice, least) in enumerate(templates)]
     vocabulary = sorted({t for _, _, ts, _ in sets for t in ts})
     text = F.coalesce(F.col(text_col), F.lit(""))
     known = F.array(*[F.lit(t) for t in vocabulary])
@@ -115,14 +121,14 @@ def template_matches(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATE
     ranked = F.create_map(*[x for t, k in order.items() for x in (F.lit(t), F.lit(k))])
 
     rows, starters = [], set()
-    for i, label, tokens, need in sets:
+    for i, label, tokens, threshold in sets:
         ranks = sorted(order[t] for t in tokens)
         least = math.ceil(threshold * len(ranks) - 1e-9)
         for pos, r in enumerate(ranks[: len(ranks) - least + 1]):
-            rows.append((i, label, ranks, sorted(order[t] for t in need), least, r, pos))
+            rows.append((i, label, ranks, least, r, pos))
             starters.add(next(t for t, k in order.items() if k == r))
     prefixes = docs.sparkSession.createDataFrame(
-        rows, "template int, label string, ranks array<int>, need array<int>, least int, rank int, t_pos int"
+        rows, "template int, label string, ranks array<int>, least int, rank int, t_pos int"
     )
     # A document that has no prefix token has no block that does.
     guard = f"(?i)(?<!{WORD})(?:{'|'.join(sorted(starters))})(?!{WORD})"
@@ -136,7 +142,7 @@ def template_matches(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATE
             F.array_sort(F.transform(F.array_intersect("tokens", known), lambda t: F.element_at(ranked, t))).alias("have"),
         )
     )
-    least_of_all = min(r[4] for r in rows)
+    least_of_all = min(r[3] for r in rows)
     probes = blocks.where(F.size("have") >= least_of_all).select(
         key, "have", F.posexplode("have").alias("b_pos", "rank")
     )
@@ -146,12 +152,12 @@ def template_matches(docs: DataFrame, threshold: float = 0.8, templates=TEMPLATE
         .where(F.size("have") >= F.col("least"))
         .where(left >= F.col("least") - F.least("b_pos", "t_pos"))
         .withColumn("overlap", F.size(F.array_intersect("have", "ranks")))
-        .where((F.col("overlap") >= F.col("least")) & (F.size(F.array_except("need", "have")) == 0))
+        .where(F.col("overlap") >= F.col("least"))
     )
     return pairs.groupBy(key, "label").agg(F.max(F.col("overlap") / F.size("ranks")).alias("containment"))
 
 
-def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
     """Per row of ``docs``: its id, ``n_words``, ``places`` (of the fixed phrases), ``found`` (label to containment).
 
     Rows are joined with their matches by (id, checksum), so repeated ids with other texts stay apart.
@@ -161,7 +167,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         F.col(id_col).alias("id"), text.alias("body"), F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("crc")).alias("key")
     )
     found = (
-        template_matches(keyed, threshold, text_col="body")
+        template_matches(keyed, templates, text_col="body")
         .groupBy("key")
         .agg(F.map_from_entries(F.collect_list(F.struct("label", "containment"))).alias("found"))
     )
