@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.session import durable
+
 #: Queries of a block, vectors of a task's share, vectors of one packed row.
 QUERY_BLOCK, SHARE, ROW = 8192, 65536, 4096
 MERGE_ROWS = 100_000
@@ -124,8 +126,13 @@ def nearest(
     own = (
         base.where(F.col("id") % every == 0)
         .repartition(q_blocks, F.pmod(F.xxhash64("id"), F.lit(q_blocks)))
+        .sortWithinPartitions("id", F.xxhash64("v"))
         .mapInArrow(_packer(zeros, kind), packed)
         .withColumn("block", F.monotonically_increasing_id())
+    )
+    # Written: partial results meet by block and place, so no recomputed task may pack its rows another way.
+    own = (
+        durable(own, "query-blocks")
         .withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
         .withColumn("q", F.pmod(F.col("block"), F.lit(q_blocks)).cast("int"))
     )

@@ -131,4 +131,20 @@ def oracle_sql() -> dict[str, str]:
                    CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
                    vec_id, score
             FROM s QUALIFY rank <= 20""",
+        "op8_nearest_neighbours": """
+            WITH v AS (
+                SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
+                FROM embeddings
+                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                  AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+                  AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+            ), s AS (
+                SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+                FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+                WHERE q.vec_id % 20 = 0
+            )
+            SELECT query_id,
+                   CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                   vec_id, score
+            FROM s QUALIFY rank <= 20""",
     }
