@@ -17,7 +17,7 @@ fixed size.  Ids, language, source and labels are no features.
 Defined results: null and empty texts are scored like any other (their features
 are zero); without any labelled training row, or with labels of one kind alone,
 every score is the smoothed share of label 1; an id with several labels counts
-each; extra columns are ignored.
+each once; of several texts of one id one is learnt from; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -222,6 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     chosen = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
         .select(F.col(id_col).alias("of"), F.col(label_col).cast("int").alias("label"))
+        .dropDuplicates()
         .orderBy(F.xxhash64("of"), "of", "label")
         .limit(max_rows)
     )
@@ -231,17 +232,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     def run(batches):
         for batch in batches:
             x = np.stack([features(t) for t in batch.column(2).to_pylist()]) if batch.num_rows else np.zeros((0, len(FEATURES)), np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([v.tobytes() for v in x], pa.binary())], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in x], pa.binary())], ["id", "label", "x"])
 
-    rows = joined.mapInArrow(run, "label int, x binary").toPandas()
+    each = joined.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, label int, x binary")
+    rows = each.groupBy("id", "label").agg(F.min("x").alias("x")).select("label", "x").toPandas()  # as many as chosen labels at most
     x = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(len(rows), len(FEATURES)).astype(float)
     y = rows["label"].to_numpy(float)
     order = np.lexsort((*x.T, y))  # the fit does not depend on the order of arrival
     return AdditiveModel().fit(x[order], y[order])
 
 
-def scored(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``score``."""
+def scored(docs: DataFrame, model: AdditiveModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """``docs`` with a column ``score_col``, which must be a new name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
     at = docs.columns.index(text_col)
 
@@ -250,10 +252,10 @@ def scored(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_c
         for batch in batches:
             texts = batch.column(at).to_pylist()
             x = np.stack([features(t) for t in texts]).astype(float) if texts else np.zeros((0, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tool.score(x))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tool.score(x))], [*names, score_col])
 
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
@@ -261,5 +263,5 @@ def fitted_and_scored(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_RO
     """Columns ``id``, ``held_out``, ``score`` for every row of ``docs``."""
     model = fit(docs, labels, max_rows, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    at_once = scored(rows, model, "id", "text")
+    at_once = scored(rows, model)
     return at_once.select("id", held_out(F.col("id")).alias("held_out"), "score")
