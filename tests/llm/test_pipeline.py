@@ -8,6 +8,7 @@ from fixtures import SCHEMA, rows
 from pyspark.sql import functions as F
 from test_native import base_spans, entropy_spans
 from test_ngram_join import brute
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quarrylight.llm import packing, quality
@@ -56,8 +57,8 @@ def test_stages_on_the_small_table(spark):
 
     clean = spark.createDataFrame(got, docs.schema)
     packed = corpus_pipeline.best_fit_packing(spark, clean, SMALL).collect()
-    enc = packing.tokenizer(P.path("byte_bpe_50k.json"))
-    sizes = {r.doc_id: len(enc.encode_ordinary(r.text)) + 1 for r in got}
+    enc = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    sizes = {r.doc_id: len(enc.encode(r.text, add_special_tokens=False).ids) + 1 for r in got}
     total = Counter()
     for r in packed:
         total[r.doc_id] += r.length
@@ -70,6 +71,20 @@ def test_run_is_the_stages(spark):
     assert a and {"doc_id", "piece", "sequence_id", "offset"} <= set(a[0].asDict())
 
 
+def test_clashing_columns(spark, tmp_path):
+    names = "score spans base_spans high_spans new_text may_go _may_go goes_id goes_mark mark key id label".split()
+    plain = spark.createDataFrame(rows(), SCHEMA).select("doc_id", "text", "lang", "source", "n_chars")
+    clash = plain.select("*", *[F.lit("mine").alias(n) for n in names])
+    spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clash, str(tmp_path))
+        assert out.columns == clash.columns
+        want = stage(spark, plain, str(tmp_path)).collect()
+        got = out.collect()
+        assert Counter(tuple(r)[:5] for r in got) == Counter(map(tuple, want)) and all(set(tuple(r)[5:]) == {"mine"} for r in got)
+    assert corpus_pipeline.best_fit_packing(spark, clash, str(tmp_path)).count() == corpus_pipeline.best_fit_packing(spark, plain, str(tmp_path)).count()
+
+
 @pytest.mark.parametrize("data", [rows(), []], ids=["awkward", "empty"])
 def test_awkward_rows(spark, tmp_path, data):
     docs = spark.createDataFrame(data, SCHEMA)
