@@ -65,7 +65,7 @@ def _citations(s, d):
     quote = F.substring(F.col("text"), start + 1, F.lit(30))
     bad = F.when(F.col("url") % 7 == 0, F.concat(F.lit("x"), quote)).otherwise(quote)
     cites = docs.select((F.col("url") + 5).alias("claim_id"), "url", bad.alias("quote"), start.alias("start"), stop.alias("stop"), F.when(F.col("url") % 11 == 0, "bad").otherwise(F.sha2("text", 256)).alias("sha"))
-    claims = docs.select((F.col("url") + 5).alias("claim_id"), F.lit("a claim").alias("text"), F.array(F.when(F.col("url") % 13 == 0, -1).otherwise(F.col("url"))).alias("urls"))
+    claims = docs.select((F.col("url") + 5).alias("claim_id"), F.concat(F.lit("a claim "), F.when(F.col("url") % 17 == 0, "of 123456789").otherwise(F.substring(F.col("text"), start + 6, F.lit(10)))).alias("text"), F.array(F.when(F.col("url") % 13 == 0, -1).otherwise(F.col("url"))).alias("urls"))
     return cites, docs, claims
 
 
@@ -160,17 +160,13 @@ def share_of_region(s, d):
 
 
 def point_change(s, d):
-    from pyspark.sql import Window
-
-    x = share_of_region(s, d)
-    w = Window.partitionBy("nation").orderBy("year")
-    x = x.withColumn("before", F.lag("share_pct").over(w)).withColumn("y", F.lag("year").over(w))
-    return x.where("year - y = 1").select("nation", "year", F.round(F.col("share_pct") - F.col("before"), 3).alias("change_pp"))
+    return U.point_change(share_of_region(s, d), ["nation"], "year", "share_pct")
 
 
 def hierarchy_check(s, d):
-    y = _yearly(s, d).groupBy("year").agg(F.sum("value").alias("tam"), F.max("value").alias("sam"), F.min("value").alias("som"))
-    return y.select("year", ((F.col("tam") >= F.col("sam")) & (F.col("sam") >= F.col("som"))).alias("ordered"))
+    lines = T(s, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_quantity").alias("served"), F.max(F.when(F.col("l_returnflag") == "R", 2 * F.col("l_quantity"))).alias("reached"))
+    o = T(s, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return o.select("o_orderkey", U.nested(F.col("o_totalprice") / 5000, F.col("served"), F.col("reached")).alias("ordered"))
 
 
 def share_total(s, d):
@@ -232,8 +228,9 @@ _BEST = f"""b AS (SELECT item_id, unnest(p) AS claim, unnest(range(len(p))) AS p
  c AS (SELECT claim_id, len(terms) AS n, unnest(terms) AS term FROM bc WHERE len(terms) >= 4), sents AS (SELECT doc_id, unnest(p) AS sentence, unnest(range(len(p))) AS pos FROM (SELECT doc_id, {_SENT} AS p FROM documents)),
  st AS (SELECT doc_id, pos, unnest({_TERMS % 'sentence'}) AS term FROM sents), hits AS (SELECT claim_id, doc_id, pos, n, count(*) AS shared FROM c JOIN st USING (term) GROUP BY ALL HAVING count(*) >= 4),
  best AS (SELECT claim_id, doc_id, CAST(arg_max(pos, shared * 1000000 - pos) AS INTEGER) AS pos, round(max(shared) / any_value(n), 6) AS overlap FROM hits GROUP BY claim_id, doc_id)"""
-_CITE = """docs AS (SELECT doc_id AS url, text FROM documents WHERE length(text) >= 60), good AS (SELECT url + 5 AS claim_id, url, CAST(url % 20 AS INTEGER) AS start, CAST(url % 20 + 30 AS INTEGER) AS stop FROM docs
- WHERE url % 7 <> 0 AND url % 11 <> 0 AND url % 13 <> 0)"""
+_CITE = f"""docs AS (SELECT doc_id AS url, text FROM documents WHERE length(text) >= 60), good AS (SELECT url + 5 AS claim_id, url, CAST(url % 20 AS INTEGER) AS start, CAST(url % 20 + 30 AS INTEGER) AS stop FROM docs
+ WHERE url % 7 <> 0 AND url % 11 <> 0 AND url % 13 <> 0 AND len(list_filter({_NUMS.replace('text', "('a claim ' || CASE WHEN url % 17 = 0 THEN 'of 123456789' ELSE substr(text, CAST(url % 20 AS INTEGER) + 6, 10) END)")},
+ lambda n: NOT list_contains({_NUMS.replace('text', 'substr(text, CAST(url % 20 AS INTEGER) + 1, 30)')}, n))) = 0)"""
 _STATUS = """o AS (SELECT doc_id, count(*) OVER (PARTITION BY sha256(text)) AS origins FROM documents), st AS (SELECT doc_id AS claim_id, CASE WHEN doc_id % 3 = 0 THEN 'lead_only'
  WHEN (doc_id % 20 = 1 AND (doc_id + 1) % 3 <> 0 AND EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = o.doc_id)) OR (doc_id % 20 = 2 AND (doc_id - 1) % 3 <> 0 AND EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = o.doc_id - 1)) THEN 'disputed'
  WHEN origins >= 2 THEN 'corroborated' ELSE 'source_reported' END AS status FROM o)"""
@@ -275,7 +272,8 @@ ORACLES = {
     "cagr_by_nation": f"WITH {_YEARLY} SELECT nation, CAST(max(year) - min(year) AS INTEGER) AS years, round((pow(CAST(arg_max(value, year) AS DOUBLE) / CAST(arg_min(value, year) AS DOUBLE), 1.0 / (max(year) - min(year))) - 1) * 100, 4) AS cagr_pct FROM y GROUP BY nation HAVING max(year) > min(year)",
     "share_of_region": f"WITH {_SHARE} SELECT nation, year, share_pct FROM sh",
     "point_change": f"WITH {_SHARE} SELECT b.nation, b.year, round(b.share_pct - a.share_pct, 3) AS change_pp FROM sh a JOIN sh b ON a.nation = b.nation AND b.year = a.year + 1",
-    "hierarchy_check": f"WITH {_YEARLY} SELECT year, sum(value) >= max(value) AND max(value) >= min(value) AS ordered FROM y GROUP BY year",
+    "hierarchy_check": """SELECT o_orderkey, coalesce(o_totalprice / 5000 >= q AND q >= r, false) AS ordered
+ FROM orders JOIN (SELECT l_orderkey, max(l_quantity) AS q, max(2 * l_quantity) FILTER (WHERE l_returnflag = 'R') AS r FROM lineitem GROUP BY ALL) ON o_orderkey = l_orderkey""",
     "share_total": f"WITH {_SHARE} SELECT n_regionkey, year, sum(share_pct) <= 100.01 AS fits, count(*) AS entities FROM sh GROUP BY ALL",
     "unit_conversion": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN round(p_size / 1000.0, 6) WHEN 1 THEN round(p_size / 1000.0, 6) WHEN 2 THEN round(p_size / 10.0, 6) END::DOUBLE AS converted,
  CASE WHEN p_partkey % 4 = 3 THEN 'incompatible' END AS reason FROM part""",

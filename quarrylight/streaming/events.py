@@ -7,9 +7,13 @@ and bounds their state.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrylight.session import shared_dir
+
 RING, HEARTBEAT_SECONDS = 512, 10
 
 
@@ -70,9 +74,13 @@ def run_once(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append"
 
 
 def counts_into(stream: DataFrame, name: str, width: str, by: list[str], time: str = "ts") -> DataFrame:
-    """Windowed counts of all that is there, in complete mode, as a table in memory."""
+    """Windowed counts of all that is there, in complete mode, as a table in the driver's memory: as many rows as windows and groups.
+
+    State and progress are kept in the shared folder.
+    """
     counted = stream.groupBy(F.window(time, width).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *by, "n")
-    query = counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    place = f"{shared_dir(stream.sparkSession)}/quarrylight-stream-{uuid.uuid4().hex}"
+    query = counted.writeStream.format("memory").queryName(name).option("checkpointLocation", place).outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
 
