@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from quarrylight.operators import origins, windows
+from quarrylight.operators import grounding, origins, passages, windows
 from quarrylight.plans import catalogue
 
 
@@ -77,3 +77,61 @@ def test_origin_groups(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, works array<string>")
     got = {r.doc_id: r.origin for r in origins.origin_groups(df, "doc_id", "text", origins.F.col("works")).collect()}
     assert got == {10: 10, 11: 10, 12: 12, 13: 13, 14: 14, 20: 20, 21: 20, 22: 20, 23: 23, 24: 24, 25: 25}
+
+
+def test_near_links_connect_what_is_near(spark):
+    rnd = random.Random(6)
+    data = []
+    for _ in range(8):
+        members = rnd.sample(range(500), 60)
+        for _ in range(14):
+            data.append((len(data), sorted(members)))
+            if rnd.random() < 0.8:
+                members = members[:]
+                for _ in range(rnd.randint(1, 3)):
+                    members[rnd.randrange(60)] = 1000 + rnd.randrange(5000)
+                members = sorted(set(members))
+                members += [9000 + i for i in range(60 - len(members))]
+    data = [(i, s) for i, s in {tuple(s): i for i, s in data}.items()]
+    data = [(i, list(s)) for s, i in data]
+    links = origins.near_links(spark.createDataFrame(data, "id long, s array<long>").repartition(3))
+    got = {tuple(sorted((r.a, r.b))) for r in links.collect()}
+    sets = dict(data)
+    near = {(a, b) for a in sets for b in sets if a < b and 100 * len(set(sets[a]) & set(sets[b])) >= 85 * len(set(sets[a]) | set(sets[b]))}
+    assert got <= near
+
+    def roots(pairs):
+        root = {i: i for i in sets}
+        for _ in sets:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert roots(sorted(got)) == roots(sorted(near)) and len(near) > 50
+
+
+def test_concepts_are_spread_as_by_hand(spark):
+    concepts = [("alpha",), ("beta", "bet"), ("gamma",)]
+    texts = ["alpha beta", "alpha", "gamma", "beta gamma", "none", "alpha beta gamma", "bets", None] * 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    held = {i: {n for n, terms in enumerate(concepts) if any(x in (t or "") for x in terms)} for i, t in enumerate(texts)}
+    for most in (1, 4, 30):
+        want, covered, left = [], set(), set(held)
+        while left and len(want) < most:
+            pick = min(left, key=lambda i: (-len(held[i] - covered), -len(held[i]), i))
+            want.append(pick)
+            covered |= held[pick]
+            left.discard(pick)
+        got = grounding.spread_over_concepts(rows, "k", "t", concepts, most).orderBy("place").collect()
+        assert [r.k for r in got] == want
+
+
+def test_windows_of_all_documents(spark):
+    d = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = catalogue.queries()["extraction_windows"](spark, d).collect()
+    want = [(i, a, b) for i, t in docs.items() for a, b in (passages.choose(t, ["thering nation market"], 2000, 3) if t else [])]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    for i in docs:  # whole texts up to their references, or as many windows as asked for
+        mine = [(a, b) for k, a, b in want if k == i]
+        assert not docs[i] or len(mine) == 3 or mine[-1][1] in (passages.body_end(docs[i], 2000), 2000, len(docs[i]))
