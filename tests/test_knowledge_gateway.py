@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import text as X
 from quarrylight.operators import gateway as G
-from quarrylight.operators import graph
+from quarrylight.operators import graph, grounding, packets, screening
 from quarrylight.operators import knowledge as K
 from quarrylight.operators import passages as P
 from quarrylight.operators.retrieval import RequestContext, WebQuery, contains_json, visible
@@ -148,3 +148,47 @@ def test_no_path_and_no_pairs(spark):
     edges = spark.createDataFrame([("a", "b", "L"), ("c", "d", "L")], "src string, dst string, label string")
     assert graph.shortest_path(edges, "a", "d", 3).count() == 0
     assert graph.components(edges.where("src = 'z'").select(F.col("src").alias("a"), F.col("dst").alias("b"))).count() == 0
+
+
+def test_related_questions(spark):
+    df = spark.createDataFrame([(1, "the output of solid cells"), (2, "the report of 2020"), (3, None), (4, "Made by ACME")], "i int, t string")
+    found = {r.i: r.x for r in df.select("i", screening.related("what is the cell output 2020", ["what", "is", "the", "cell", "output", "2020"], F.col("t"), ["acme"]).alias("x")).collect()}
+    assert found == {1: True, 2: False, 3: False, 4: True}
+
+
+def test_resolve_and_connect(spark):
+    nodes = spark.createDataFrame([("n:1", "Alpha Works"), ("n:2", "Beta"), ("n:3", "Gamma"), ("n:4", "alpha two")], "uri string, name string")
+    edges = spark.createDataFrame([("n:1", "n:2", "owns"), ("n:2", "n:3", "sells")], "src string, dst string, label string")
+    got = packets.resolve_and_connect(nodes, edges, "alpha", "gamma").collect()
+    assert [(r.path, r.labels) for r in got] == [(["n:1", "n:2", "n:3"], ["owns", "sells"])]
+    assert packets.resolve_and_connect(nodes, edges, "alpha", "nobody").count() == 0
+
+
+def test_mixed_words_and_claim_lines(spark):
+    df = spark.createDataFrame([("电池 battery 技术（see cell 技术）", True), ("ABC 技术", False), (None, None)], "t string, alone boolean")
+    got = df.select(packets.mixed_words(F.col("t")).alias("m"), packets.claim_line(F.col("t"), F.col("alone")).alias("c")).collect()
+    assert [r.m for r in got] == [["battery"], [], None]
+    assert got[0].c.startswith("[single source] ") and got[1].c == "ABC 技术" and got[2].c is None
+
+
+def test_grounding_takes_equal_claims_and_verdicts(spark):
+    sentences = spark.createDataFrame(
+        [(1, "It grew  by 5.", None, None), (2, "It fell by 7.", [2], None), (3, "Made up.", [], None), (4, "It grew by 5.", [1, 9], None), (5, "Said 5 differently.", [1], None), (6, "A heading", None, True), (7, "It grew by 5.", [1, 2], False)],
+        "sentence_id int, text string, claim_ids array<int>, editorial boolean",
+    )
+    claims = spark.createDataFrame([(1, "it grew by 5.", False), (2, "It fell by 7.", None)], "claim_id int, text string, disputed boolean")
+    evidence = spark.createDataFrame([(10, 1, "Before. It grew by 5. After."), (11, 2, "Other words with 8.")], "citation_id int, claim_id int, quote string")
+    verdicts = spark.createDataFrame([(5,)], "sentence_id int")
+    got = {r.sentence_id: (r.status, r.reason, r.citation_ids) for r in grounding.grounded(sentences, claims, evidence, verdicts).collect()}
+    assert got == {
+        1: ("supported", grounding.SUPPORTED, [10]),
+        2: ("withheld", "numeric_value_or_unit_not_supported", None),
+        3: ("withheld", "missing_claim_citation", None),
+        4: ("withheld", "unknown_or_out_of_section_claim", None),
+        5: ("supported", grounding.SUPPORTED, [10]),
+        6: ("editorial", None, None),
+        7: ("supported", grounding.SUPPORTED, [10]),
+    }
+    audit = grounding.audit(grounding.grounded(sentences, claims, evidence, verdicts)).first()
+    assert (audit.attempted, audit.supported, audit.withheld, audit.supported_ratio) == (6, 3, 3, 0.5)
+    assert grounding.audit(grounding.grounded(sentences.limit(0), claims, evidence)).first().supported_ratio == 0.0
