@@ -35,8 +35,8 @@ from quarrylight.session import durable, release
 from .bpe import chunks, json_codec
 
 CAPACITY = 2048
-#: Steps of the search; None lets it run to the end.
-NODES = 20_000
+#: Nodes and fillings that the search looks at; None lets it run to the end.
+STEPS = 10_000
 
 
 def _add(pattern: tuple, length: int, k: int) -> tuple:
@@ -89,8 +89,21 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return int(max(bounds.max(), -(-volume[-1] // capacity)))
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int, waste: int):
-    """Undominated fillings of ``room`` that leave at most ``waste`` of it, least waste first, one by one.
+class _Steps:
+    """What is left of the search: every node and every filling that is looked at takes a step; None never ends."""
+
+    def __init__(self, steps: int | None):
+        self.left = steps
+
+    def take(self) -> bool:
+        if self.left is None:
+            return True
+        self.left -= 1
+        return self.left >= 0
+
+
+def fillings(sizes: list[int], counts: dict[int, int], room: int, waste: int, steps: _Steps):
+    """Undominated fillings of ``room`` that leave at most ``waste`` of it, least waste first, one by one, while there are steps.
 
     ``sizes`` descend.  A filling is dominated by another if its items fit into distinct items of the other; left out
     are those in which an item could give way to a larger one or two items to one of their size or more, within the room,
@@ -118,6 +131,8 @@ def fillings(sizes: list[int], counts: dict[int, int], room: int, waste: int):
             return
         sums ^= 1 << target
         for chosen in _subsets(usable, counts, reach, target):
+            if not steps.take():
+                return
             if not _dominated(chosen, usable, counts, room - target):
                 yield chosen
 
@@ -161,10 +176,10 @@ def _dominated(chosen: tuple, usable: list[int], counts: dict[int, int], spare:
     return any(between(s, s + spare) for s in pairs)
 
 
-def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES) -> list[tuple[tuple, int]]:
+def pack(counts: dict[int, int], capacity: int = CAPACITY, steps: int | None = STEPS) -> list[tuple[tuple, int]]:
     """Patterns with multiplicities that hold every item of the histogram.
 
-    ``nodes`` bounds the steps of the search, which keeps the best plan so far; without a bound (None) it
+    ``steps`` bounds the search, which keeps the best plan so far; without a bound (None) it
     runs to the end and the plan has the fewest bins that there are.
     """
     counts = {k: n for k, n in counts.items() if n}
@@ -172,14 +187,13 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = N
     if not counts:
         return best
     least, total = lower_bound(counts, capacity), sum(k * n for k, n in counts.items())
-    bins, visited = sum(n for _, n in best), 0
+    bins, budget = sum(n for _, n in best), _Steps(steps)
     # A depth-first search with an explicit stack.  An entry is a node (path, bins, waste) and which of its branches
     # is next (number of the filling, times it is applied; None: as often as the counts allow).  A path is a linked
     # list, and the counts left are rebuilt from it where the search goes back, so memory follows the depth alone.
     stack, at, left = [(None, 0, 0, 0, None)], None, dict(counts)
-    while stack and bins > least and (nodes is None or visited < nodes):
+    while stack and bins > least and budget.take():
         path, used, waste, number, times = stack.pop()
-        visited += 1
         spare = (bins - 1) * capacity - total - waste
         if spare < 0:
             continue  # even without further waste this takes as many bins as the incumbent
@@ -197,7 +211,7 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = N
         sizes = sorted(left, reverse=True)
         top = sizes[0]
         usable = {**left, top: left[top] - 1}
-        found = fillings([s for s in sizes if usable[s]], usable, capacity - top, spare)
+        found = fillings([s for s in sizes if usable[s]], usable, capacity - top, spare, budget)
         filling = next(islice(found, number, None), None)
         if filling is None:
             continue
