@@ -66,6 +66,10 @@ def _pieces(text: Column) -> Column:
     return F.filter(F.split(text, GAP, -1), lambda w: w != "")
 
 
+def _n_words(text: Column) -> Column:
+    return F.size(F.array_remove(F.split(text, GAP, -1), "")).cast("long")
+
+
 def phrase_places(text: Column, phrases=PHRASES) -> Column:
     """Array of structs (at, label): first word of each place, words counted from 0."""
     apart = [tuple(p.split()) for p, _ in phrases]
@@ -112,13 +116,17 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, key: str = "key", tex
     sets = [(i, label, list(dict.fromkeys(notice.split())), least) for i, (label, notice, least) in enumerate(templates)]
     vocabulary = sorted({t for _, _, ts, _ in sets for t in ts})
     text = F.coalesce(F.col(text_col), F.lit(""))
-    known = F.array(*[F.lit(t) for t in vocabulary])
-    present = F.array_intersect(F.transform(_pieces(text), _lower), known)
+    array = lambda tokens: F.array(*[F.lit(t) for t in tokens])
+    words = lambda c: F.split(c, GAP, -1)  # of lower-cased text; empty pieces are in no template
+    # ``lower`` is fast and may turn other characters into a-z too, so it finds all and some more: enough for the
+    # order and the first filter.  Blocks are lower-cased as the contract says.
+    quick = words(F.lower(text))
+    present = F.array_intersect(quick, array(vocabulary))
     # As many rows as the vocabulary has tokens.
     counted = docs.select(F.explode(present).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()
     seen = {r["token"]: r["n"] for r in counted}
     order = {t: k for k, t in enumerate(sorted(vocabulary, key=lambda t: (seen.get(t, 0), t)))}
-    ranked = F.create_map(*[x for t, k in order.items() for x in (F.lit(t), F.lit(k))])
+    known = array(sorted(order, key=order.get))
 
     rows, starters = [], set()
     for i, label, tokens, threshold in sets:
@@ -131,16 +139,13 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, key: str = "key", tex
         rows, "template int, label string, ranks array<int>, least int, rank int, t_pos int"
     )
     # A document that has no prefix token has no block that does.
-    guard = f"(?i)(?<!{WORD})(?:{'|'.join(sorted(starters))})(?!{WORD})"
+    first = array(sorted(starters))
     blocks = (
-        docs.where(text.rlike(guard))
-        .select(F.col(key), F.explode(_blocks(text)).alias("block"))
-        .where(F.col("block").rlike(guard))
-        .select(key, F.array_distinct(F.transform(_pieces(F.col("block")), _lower)).alias("tokens"))
-        .select(
-            key,
-            F.array_sort(F.transform(F.array_intersect("tokens", known), lambda t: F.element_at(ranked, t))).alias("have"),
-        )
+        docs.where(F.arrays_overlap(quick, first))
+        .select(F.col(key), F.explode(_blocks(_lower(text))).alias("block"))
+        .select(key, F.array_intersect(words(F.col("block")), known).alias("tokens"))
+        .where(F.arrays_overlap("tokens", first))
+        .select(key, F.array_sort(F.transform("tokens", lambda t: (F.array_position(known, t) - 1).cast("int"))).alias("have"))
     )
     least_of_all = min(r[3] for r in rows)
     probes = blocks.where(F.size("have") >= least_of_all).select(
@@ -171,5 +176,5 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tem
         .groupBy("key")
         .agg(F.map_from_entries(F.collect_list(F.struct("label", "containment"))).alias("found"))
     )
-    base = keyed.select("id", "key", F.size(_pieces(F.col("body"))).cast("long").alias("n_words"), phrase_places(F.col("body")).alias("places"))
+    base = keyed.select("id", "key", _n_words(F.col("body")).alias("n_words"), phrase_places(F.col("body")).alias("places"))
     return base.join(found, "key", "left").select("id", "n_words", "places", "found")
