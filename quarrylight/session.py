@@ -70,6 +70,13 @@ def _delete(spark: SparkSession, path: str) -> None:
 _written: dict[str, SparkSession] = {}
 
 
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, removed when the program ends."""
+    path = f"{shared_dir(spark)}/quarrylight-{what}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def durable(df: DataFrame, what: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: its lineage ends there.
 
@@ -77,9 +84,8 @@ def durable(df: DataFrame, what: str) -> DataFrame:
     reader sees the same rows even if the plan above was not deterministic.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quarrylight-{what}-{uuid.uuid4().hex}"
+    path = shared_path(spark, what)
     df.write.parquet(path)
-    _written[path] = spark
     back = spark.read.schema(df.schema).parquet(path)
     back._quarrylight_path = path
     return back
