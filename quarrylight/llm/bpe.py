@@ -311,14 +311,10 @@ class Codec:
         slot = self._kept.find(first[misses], second[misses], length[misses])
         known, slot, misses = misses[slot >= 0], slot[slot >= 0], misses[slot < 0]
         size[known] = self._kept.count[slot]
-        found, new = [], {}
-        for a, n in zip(begin[misses].tolist(), length[misses].tolist(), strict=True):
-            piece = raw[a : a + n]
-            parts = new.get(piece)
-            if parts is None:
-                token = self.ranks.get(piece) if n > WORDS else None
-                parts = new[piece] = merged(piece, self.single, self.pairs) if token is None else [token]
-            found.append(parts)
+        pieces = [raw[a : a + n] for a, n in zip(begin[misses].tolist(), length[misses].tolist(), strict=True)]
+        distinct = list(dict.fromkeys(pieces))
+        new = dict(zip(distinct, self.split(distinct), strict=True))
+        found = [new[piece] for piece in pieces]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         size[misses] = lengths
         stop = np.cumsum(size)
@@ -334,6 +330,11 @@ class Codec:
         where = np.append(0, stop)[bounds]
         return [out[a:b] for a, b in zip(where[:-1], where[1:], strict=True)]
 
+    def split(self, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of each pre-token that the hash of short tokens does not hold."""
+        token = self.ranks.get
+        return [merged(p, self.single, self.pairs) if len(p) <= WORDS or (i := token(p)) is None else [i] for p in pieces]
+
     @staticmethod
     def _words(raw: bytes, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first eight bytes of each pre-token and the eight after them, as 64-bit words."""

@@ -28,6 +28,7 @@ import struct
 import uuid
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from tokenizers import Tokenizer
 
 from quarrylight.session import prepare, shared_path
 
-from .bpe import chunks, json_codec
+from .bpe import Codec, chunks, read_json
 
 MAGIC = b"QLTOKENS"
 MANIFEST = "manifest.json"
@@ -178,8 +180,8 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[_File]:
         return [_File(f["file"], f["width"], f["start"]) for f in manifest(self.path)]
 
-    def read(self, partition: _File):
-        if partition.file is None:  # an empty manifest
+    def read(self, partition: _File | None):
+        if partition is None:  # an empty manifest
             return
         where = f"{self.path}/{partition.file}"
         index = read_index(f"{where}.index")
@@ -302,6 +304,28 @@ def read_shuffled(spark: SparkSession, path: str, seed: int = 0, slices: int | N
     return drawn.mapInArrow(run, "place long, id long, start long, ids binary")
 
 
+class LibraryCodec(Codec):
+    """Pre-tokens that are tokens come from the hash, all others from the ``tokenizers`` library, many in one call."""
+
+    def __init__(self, path: str):
+        super().__init__(*read_json(path))
+        self.library = Tokenizer.from_file(path)
+
+    def split(self, pieces: list[bytes]) -> list[list[int]]:
+        if not pieces:
+            return []
+        found = self.library.encode([p.decode() for p in pieces], is_pretokenized=True, add_special_tokens=False)
+        words = np.fromiter(found.word_ids, np.int64, len(found.ids))
+        cuts = np.searchsorted(words, np.arange(len(pieces) + 1)).tolist()
+        ids = found.ids
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+@lru_cache(maxsize=2)
+def library_codec(path: str) -> LibraryCodec:
+    return LibraryCodec(path)
+
+
 def tokenised(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id`` and ``ids`` (little-endian 32-bit, ``end_id`` last), ascending by id over the partitions; ``path`` is a ``tokenizers`` JSON file.
 
@@ -316,7 +340,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id
         {"crc": F.crc32(F.col("text").cast("binary")), "size": F.octet_length("text"), "spread": F.xxhash64(F.monotonically_increasing_id())}
     )
     rows = rows.repartitionByRange(slices, *order).sortWithinPartitions(*order).select("id", "text")
-    shared = spark.sparkContext.broadcast(json_codec(path))  # as large as the vocabulary
+    shared = spark.sparkContext.broadcast(library_codec(path))  # as large as the vocabulary
 
     def run(batches):
         tool = shared.value
@@ -332,5 +356,5 @@ def tokenised(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "doc_id
 def token_files(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Encode ``docs`` and write them in ascending order of ids; gives the folder, one in the shared folder by default."""
     spark = docs.sparkSession
-    width = 2 if max(end_id, len(json_codec(tokenizer).tokens) - 1) <= 0xFFFF else 4
+    width = 2 if max(end_id, len(library_codec(tokenizer).tokens) - 1) <= 0xFFFF else 4
     return write_records(tokenised(docs, tokenizer, end_id, id_col, text_col), path or shared_path(spark, "token-records"), width)
