@@ -241,13 +241,3 @@ def shingles(words: Column, n: int) -> Column:
 def strip_think(text: Column) -> Column:
     """Model output without its thinking blocks."""
     return F.trim(F.regexp_replace(text, r"(?is)<think>.*?</think>", ""))
-
-
-def numbers(text: Column) -> Column:
-    """Distinct plain numbers, trailing zeros of a fraction dropped."""
-    found = F.regexp_extract_all(F.regexp_replace(text, r"(?<=[0-9]),(?=[0-9]{3})", ""), F.lit(r"[0-9]+(?:\.[0-9]+)?"), F.lit(0))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda v: F.regexp_replace(F.regexp_replace(v, r"(\.[0-9]*?)0+$", "$1"), r"\.$", ""))))
-
-
-def numbers_supported(text: Column, evidence: Column) -> Column:
-    return F.size(F.array_except(numbers(text), numbers(evidence))) == 0

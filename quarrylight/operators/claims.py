@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.functions import quantities as Q
 from quarrylight.functions import text as X
 from quarrylight.session import durable
 
@@ -62,8 +63,8 @@ def conflict_pairs(claims: DataFrame, key: str, terms: str, cap: int = POSTING_C
 
 
 def contradictions(pairs: DataFrame, claims: DataFrame, key: str, text: str) -> DataFrame:
-    """Pairs of one subject whose number sets are both there and differ."""
-    side = lambda s: claims.select(F.col(key).alias(s), X.numbers(F.col(text)).alias(f"n_{s}"))
+    """Pairs of one subject whose signatures of numbers are both there and differ."""
+    side = lambda s: claims.select(F.col(key).alias(s), Q.signatures(F.col(text)).alias(f"n_{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.where((F.size("n_a") > 0) & (F.size("n_b") > 0) & (F.col("n_a") != F.col("n_b"))).drop("n_a", "n_b")
 
@@ -117,7 +118,7 @@ def anchored(citations: DataFrame, sources: DataFrame, claims: DataFrame) -> Dat
     s = sources.select("url", F.col("text").alias("_source"), F.sha2("text", 256).alias("_sha"))
     c = claims.select("claim_id", F.col("text").alias("_claim"), F.col("urls").alias("_urls"))
     span = F.substring(F.col("_source"), F.col("start") + 1, F.col("stop") - F.col("start"))
-    ok = (span == F.col("quote")) & (F.col("_sha") == F.col("sha")) & F.array_contains("_urls", F.col("url")) & X.numbers_supported(F.col("_claim"), F.col("quote"))
+    ok = (span == F.col("quote")) & (F.col("_sha") == F.col("sha")) & F.array_contains("_urls", F.col("url")) & Q.supported(F.col("_claim"), F.col("quote"))
     return citations.join(s, "url").join(c, "claim_id").where(ok).select(citations.columns)
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.functions import quantities as Q
 from quarrylight.functions import text as X
 
+# The reasons, in the order in which they are looked at.
 REASONS = (
     "missing_claim_citation",
     "unknown_or_out_of_section_claim",
@@ -33,28 +35,29 @@ def grounded(sentences: DataFrame, claims: DataFrame, evidence: DataFrame, verdi
     """
     s = sentences.select("sentence_id", F.col("text").alias("s_text"), "claim_ids", F.coalesce("editorial", F.lit(False)).alias("editorial"))
     s = s.withColumn("same", identity(F.col("s_text")))
+    s = s.withColumn("named", F.size(F.coalesce("claim_ids", F.array().cast(s.schema["claim_ids"].dataType))) > 0)
+    # Sentences without claims that say the same are one case: its claims and quotes are looked up once, whatever its repeats.
+    s = s.withColumn("case", F.when(F.col("named"), F.concat(F.lit("i"), F.col("sentence_id"))).otherwise(F.concat(F.lit("t"), F.sha2("same", 256))))
     c = claims.select("claim_id", F.col("text").alias("c_text"), F.coalesce("disputed", F.lit(False)).alias("disputed")).withColumn("c_same", identity(F.col("c_text")))
-    named = s.where(F.size(F.coalesce("claim_ids", F.array().cast(s.schema["claim_ids"].dataType))) > 0).select("sentence_id", F.explode(F.array_distinct("claim_ids")).alias("claim_id"))
-    unnamed = s.where(F.coalesce(F.size("claim_ids"), F.lit(-1)) <= 0).where(~F.col("editorial"))
-    found = unnamed.join(c.select("claim_id", "c_same"), F.col("same") == F.col("c_same")).select("sentence_id", "claim_id")
-    pairs = named.union(found).join(s.select("sentence_id", "same"), "sentence_id").join(c, "claim_id", "left")
-    exact = F.coalesce(F.col("same") == F.col("c_same"), F.lit(False))
-    per = pairs.groupBy("sentence_id").agg(
+    named = s.where("named").select("case", "same", F.explode(F.array_distinct("claim_ids")).alias("claim_id"))
+    unnamed = s.where("not named and not editorial").select("case", "same").dropDuplicates(["case"])
+    found = unnamed.join(c.select("claim_id", "c_same"), F.col("same") == F.col("c_same")).select("case", "same", "claim_id")
+    pairs = named.union(found).join(c, "claim_id", "left").withColumn("exact", F.coalesce(F.col("same") == F.col("c_same"), F.lit(False)))
+    per = pairs.groupBy("case").agg(
         F.bool_or(F.col("c_text").isNull()).alias("unknown"),
         F.bool_or("disputed").alias("any_disputed"),
         F.bool_and(F.coalesce("disputed", F.lit(False))).alias("all_disputed"),
-        F.bool_or(exact).alias("any_exact"),
+        F.bool_or("exact").alias("any_exact"),
     )
-    used = pairs.withColumn("exact", exact).join(per.select("sentence_id", "any_exact"), "sentence_id").where("exact or not any_exact").select("sentence_id", "claim_id")
-    e = evidence.select("citation_id", "claim_id", "quote")
-    quotes = used.join(e, "claim_id", "left").join(s.select("sentence_id", "same"), "sentence_id")
-    support = quotes.groupBy("sentence_id").agg(
+    used = pairs.join(per.select("case", "any_exact"), "case").where("exact or not any_exact").select("case", "same", "claim_id")
+    quotes = used.join(evidence.select("citation_id", "claim_id", "quote"), "claim_id", "left")
+    support = quotes.groupBy("case").agg(
         F.bool_or(F.col("citation_id").isNull()).alias("unanchored"),
-        F.array_distinct(F.flatten(F.collect_set(X.numbers(F.col("quote"))))).alias("numbers"),
+        F.array_distinct(F.flatten(F.collect_set(Q.signatures(F.col("quote"))))).alias("numbers"),
         F.bool_or(F.exists(X.sentences(F.col("quote")), lambda q: identity(q) == F.col("same"))).alias("verbatim"),
         F.array_sort(F.collect_set("citation_id")).alias("citations"),
     )
-    judged = s.join(per, "sentence_id", "left").join(support, "sentence_id", "left")
+    judged = s.join(per, "case", "left").join(support, "case", "left")
     if verdicts is not None:
         judged = judged.join(verdicts.select("sentence_id").dropDuplicates().withColumn("judged", F.lit(True)), "sentence_id", "left")
     entailed = F.coalesce("verbatim", F.lit(False)) if verdicts is None else F.coalesce("verbatim", F.lit(False)) | F.coalesce("judged", F.lit(False))
@@ -64,7 +67,7 @@ def grounded(sentences: DataFrame, claims: DataFrame, evidence: DataFrame, verdi
         F.col("unknown"),
         F.coalesce(unsettled, F.lit(False)),
         F.coalesce("unanchored", F.lit(True)),
-        F.size(F.array_except(X.numbers(F.col("s_text")), "numbers")) > 0,
+        F.size(F.array_except(Q.signatures(F.col("s_text")), "numbers")) > 0,
         ~entailed,
     )
     reason = F.lit(SUPPORTED)

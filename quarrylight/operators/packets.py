@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.functions import quantities as Q
 from quarrylight.functions import text as X
 
 from .graph import resolve, shortest_path
@@ -140,7 +141,7 @@ def finding_errors(findings: DataFrame, evidence: DataFrame) -> DataFrame:
     """
     both = F.array_union("supports", "opposes")
     named = findings.select("finding_id", F.explode(both).alias("evidence_id"), F.col("supports").alias("_s"))
-    e = evidence.select("evidence_id", X.numbers(F.col("text")).alias("_n"), F.lit(True).alias("_known"))
+    e = evidence.select("evidence_id", Q.signatures(F.col("text")).alias("_n"), F.lit(True).alias("_known"))
     per = named.join(e, "evidence_id", "left").groupBy("finding_id").agg(
         F.bool_or(F.col("_known").isNull()).alias("unknown"),
         F.array_distinct(F.flatten(F.collect_set(F.when(F.array_contains("_s", F.col("evidence_id")), F.col("_n"))))).alias("numbers"),
@@ -150,7 +151,7 @@ def finding_errors(findings: DataFrame, evidence: DataFrame) -> DataFrame:
         F.when(F.coalesce(F.size("supports"), F.lit(0)) <= 0, "no_support")
         .when(F.col("unknown"), "unknown_evidence")
         .when(F.arrays_overlap("supports", "opposes"), "both_sides")
-        .when(F.size(F.array_except(X.numbers(F.col("text")), "numbers")) > 0, "number_without_evidence")
+        .when(F.size(F.array_except(Q.signatures(F.col("text")), "numbers")) > 0, "number_without_evidence")
     )
     return out.select("finding_id", error.alias("error"))
 

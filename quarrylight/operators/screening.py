@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarrylight.functions import quantities as Q
 from quarrylight.functions import text as X
 
 # Failures that are worth another attempt, besides status 429 and those from 500 on.
@@ -67,8 +68,8 @@ def first_queries(objective: Column, questions: Column) -> Column:
 
 
 def numbers_not_in(text: Column, evidence: Column) -> Column:
-    """Numbers of a text that its evidence does not have."""
-    return F.array_except(X.numbers(text), X.numbers(evidence))
+    """Signatures of a text's numbers that its evidence does not have."""
+    return F.array_except(Q.signatures(text), Q.signatures(evidence))
 
 
 def tex_escaped(text: Column) -> Column:

@@ -215,7 +215,7 @@ QUERIES = [
     comparability_members, replay_violations, dense_claim_ids,
 ]
 
-from quarrylight.plans.text_queries import _NUMS, _SENT  # noqa: E402
+from quarrylight.plans.text_queries import _SENT, _signature_sql  # noqa: E402
 
 _FACT = r"(regexp_matches(claim, '[0-9]') OR regexp_matches(lower(claim), '\b(is|are|was|were|has|have|reported|announced|accounts|reached)\b'))"
 _CLAIMS = f"sents AS (SELECT doc_id, unnest(p) AS claim, unnest(range(len(p))) AS pos FROM (SELECT doc_id, {_SENT} AS p FROM documents)), claims AS (SELECT doc_id, pos, doc_id * 100000 + pos AS id, claim FROM sents WHERE {_FACT})"
@@ -229,8 +229,8 @@ _BEST = f"""b AS (SELECT item_id, unnest(p) AS claim, unnest(range(len(p))) AS p
  st AS (SELECT doc_id, pos, unnest({_TERMS % 'sentence'}) AS term FROM sents), hits AS (SELECT claim_id, doc_id, pos, n, count(*) AS shared FROM c JOIN st USING (term) GROUP BY ALL HAVING count(*) >= 4),
  best AS (SELECT claim_id, doc_id, CAST(arg_max(pos, shared * 1000000 - pos) AS INTEGER) AS pos, round(max(shared) / any_value(n), 6) AS overlap FROM hits GROUP BY claim_id, doc_id)"""
 _CITE = f"""docs AS (SELECT doc_id AS url, text FROM documents WHERE length(text) >= 60), good AS (SELECT url + 5 AS claim_id, url, CAST(url % 20 AS INTEGER) AS start, CAST(url % 20 + 30 AS INTEGER) AS stop FROM docs
- WHERE url % 7 <> 0 AND url % 11 <> 0 AND url % 13 <> 0 AND len(list_filter({_NUMS.replace('text', "('a claim ' || CASE WHEN url % 17 = 0 THEN 'of 123456789' ELSE substr(text, CAST(url % 20 AS INTEGER) + 6, 10) END)")},
- lambda n: NOT list_contains({_NUMS.replace('text', 'substr(text, CAST(url % 20 AS INTEGER) + 1, 30)')}, n))) = 0)"""
+ WHERE url % 7 <> 0 AND url % 11 <> 0 AND url % 13 <> 0 AND len(list_filter({_signature_sql("('a claim ' || CASE WHEN url % 17 = 0 THEN 'of 123456789' ELSE substr(text, CAST(url % 20 AS INTEGER) + 6, 10) END)")},
+ lambda n: NOT list_contains({_signature_sql('substr(text, CAST(url % 20 AS INTEGER) + 1, 30)')}, n))) = 0)"""
 _STATUS = """o AS (SELECT doc_id, count(*) OVER (PARTITION BY sha256(text)) AS origins FROM documents), st AS (SELECT doc_id AS claim_id, CASE WHEN doc_id % 3 = 0 THEN 'lead_only'
  WHEN (doc_id % 20 = 1 AND (doc_id + 1) % 3 <> 0 AND EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = o.doc_id)) OR (doc_id % 20 = 2 AND (doc_id - 1) % 3 <> 0 AND EXISTS (SELECT 1 FROM documents e WHERE e.doc_id = o.doc_id - 1)) THEN 'disputed'
  WHEN origins >= 2 THEN 'corroborated' ELSE 'source_reported' END AS status FROM o)"""
@@ -245,7 +245,7 @@ ORACLES = {
  u AS (SELECT claim, doc_id, min(id) AS o, min(level) AS l FROM r GROUP BY ALL) SELECT sha256(claim) AS claim_sha, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY o) AS urls, CAST(min(l) AS INTEGER) AS level, min(o) AS ordinal,
  count(*) = 1 AND min(l) >= 3 AS isolated FROM u GROUP BY claim""",
     "conflict_pairs": f"WITH {_PAIRS} SELECT a, b, CAST(shared AS INTEGER) AS shared, round(ratio, 6) AS ratio FROM pairs",
-    "contradictions": f"WITH {_PAIRS}, n AS (SELECT a, b, {_NUMS.replace('text', 'ca')} AS na, {_NUMS.replace('text', 'cb')} AS nb FROM pairs) SELECT a, b FROM n WHERE len(na) > 0 AND len(nb) > 0 AND na <> nb",
+    "contradictions": f"WITH {_PAIRS}, n AS (SELECT a, b, {_signature_sql('ca')} AS na, {_signature_sql('cb')} AS nb FROM pairs) SELECT a, b FROM n WHERE len(na) > 0 AND len(nb) > 0 AND na <> nb",
     "best_overlap": f"WITH {_BEST} SELECT claim_id, doc_id, pos AS \"at\", overlap FROM best WHERE overlap >= 0.5",
     "entailment": f"WITH {_BEST} SELECT claim_id, count(*) AS supporting, min(doc_id) AS first_doc FROM best WHERE overlap >= 0.85 GROUP BY claim_id",
     "citation_integrity": f"WITH {_CITE} SELECT * FROM good",

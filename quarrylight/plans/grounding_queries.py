@@ -10,21 +10,27 @@ from quarrylight.operators import screening as S
 from quarrylight.session import table as T
 
 from .claim_queries import _CLAIMS, _sentences
-from .text_queries import _NUMS, _SENT
+from .text_queries import _SENT, _signature_sql
 
-_OTHER = "Another statement with 7."
 _ALIASES = ["thering", "nation and"]
 _CONCEPTS = [("thering",), ("nation", "in the"), ("[0-9]",), ("secret", "token"), ("license",)]
 
 
 def _drafted(s, d):
-    """Every factual sentence as a draft: some without claims, some with unknown, disputed, unanchored or otherwise anchored ones."""
+    """Every factual sentence as a draft, with claims and evidence that differ from it in numbers, signs, units, words, or are not there."""
     x = _sentences(s, d).select("id", "claim")
     i = F.col("id")
     ids = F.when(i % 7 == 0, F.array().cast("array<long>")).when(i % 11 == 0, F.array(i, F.lit(-1).cast("long"))).otherwise(F.array(i))
     sentences = x.select(i.alias("sentence_id"), F.col("claim").alias("text"), ids.alias("claim_ids"), (i % 19 == 0).alias("editorial"))
     claims = x.where(i % 7 != 0).select(i.alias("claim_id"), F.concat(F.col("claim"), F.lit(" "), i).alias("text"), (i % 13 == 0).alias("disputed"))
-    evidence = x.where(i % 17 != 0).select(i.alias("citation_id"), i.alias("claim_id"), F.when(i % 5 == 0, _OTHER).otherwise(F.col("claim")).alias("quote"))
+    quote = (
+        F.when(i % 5 == 0, F.regexp_replace("claim", "([0-9]+)", "-$1"))
+        .when(i % 5 == 1, F.regexp_replace("claim", "([0-9]+)", "$1 percent"))
+        .when(i % 5 == 2, F.concat(F.lit("It is said that "), F.col("claim")))
+        .when(i % 5 == 3, F.regexp_replace("claim", "([0-9]+)", "$1.0"))
+        .otherwise(F.col("claim"))
+    )
+    evidence = x.where(i % 17 != 0).select(i.alias("citation_id"), i.alias("claim_id"), quote.alias("quote"))
     return sentences, claims, evidence
 
 
@@ -122,10 +128,22 @@ QUERIES = [
     causal_questions, thin_bodies, subject_matches, identity_matches, first_queries, unsupported_numbers, tex_escapes, gap_windows,
 ]
 
-_GROUND = f"""{_CLAIMS}, g AS (SELECT id, CASE WHEN id % 19 = 0 THEN NULL WHEN id % 7 = 0 THEN 'missing_claim_citation' WHEN id % 11 = 0 THEN 'unknown_or_out_of_section_claim'
- WHEN id % 13 = 0 THEN 'publication_policy_excludes_unsettled_premise' WHEN id % 17 = 0 THEN 'claim_has_no_anchored_support'
- WHEN id % 5 = 0 AND len(list_filter({_NUMS.replace('text', 'claim')}, lambda n: n <> '7')) > 0 THEN 'numeric_value_or_unit_not_supported'
- WHEN id % 5 = 0 THEN 'draft_sentence_not_entailed_by_sources' ELSE 'source_support_audited' END AS reason FROM claims)"""
+_SAME = r"lower(trim(regexp_replace(%s, '\s+', ' ', 'g')))"
+_GROUND = rf"""{_CLAIMS}, s AS (SELECT id AS sentence_id, claim AS stext, CASE WHEN id % 7 = 0 THEN [] WHEN id % 11 = 0 THEN [id, -1] ELSE [id] END AS ids, id % 19 = 0 AS editorial FROM claims),
+ c AS (SELECT id AS claim_id, claim || ' ' || id AS ctext, id % 13 = 0 AS disputed FROM claims WHERE id % 7 <> 0),
+ e AS (SELECT id AS citation_id, id AS claim_id, CASE id % 5 WHEN 0 THEN regexp_replace(claim, '([0-9]+)', '-\1', 'g') WHEN 1 THEN regexp_replace(claim, '([0-9]+)', '\1 percent', 'g')
+  WHEN 2 THEN 'It is said that ' || claim WHEN 3 THEN regexp_replace(claim, '([0-9]+)', '\1.0', 'g') ELSE claim END AS quote FROM claims WHERE id % 17 <> 0),
+ named AS (SELECT sentence_id, unnest(list_distinct(ids)) AS claim_id FROM s WHERE len(ids) > 0),
+ alike AS (SELECT s.sentence_id, c.claim_id FROM s JOIN c ON {_SAME % 'stext'} = {_SAME % 'ctext'} WHERE len(ids) = 0 AND NOT editorial),
+ p AS (SELECT l.sentence_id, l.claim_id, ctext, disputed, coalesce({_SAME % 'stext'} = {_SAME % 'ctext'}, false) AS same FROM (FROM named UNION ALL FROM alike) l JOIN s USING (sentence_id) LEFT JOIN c USING (claim_id)),
+ per AS (SELECT sentence_id, bool_or(ctext IS NULL) AS unknown, bool_or(coalesce(disputed, false)) AS unsettled, bool_or(same) AS any_same FROM p GROUP BY sentence_id),
+ q AS (SELECT p.sentence_id, citation_id, {_signature_sql("coalesce(quote, '')")} AS n, list_contains(list_transform({_SENT.replace('text', "coalesce(quote, '')")}, lambda t: {_SAME % 't'}), {_SAME % 'stext'}) AS verbatim
+  FROM p JOIN per USING (sentence_id) JOIN s USING (sentence_id) LEFT JOIN e USING (claim_id) WHERE p.same OR NOT any_same),
+ sup AS (SELECT sentence_id, bool_or(citation_id IS NULL) AS unanchored, flatten(list(n)) AS n, bool_or(verbatim) AS verbatim, count(DISTINCT citation_id) AS k FROM q GROUP BY sentence_id),
+ g AS (SELECT s.sentence_id AS id, k, CASE WHEN editorial THEN NULL WHEN per.unknown IS NULL THEN 'missing_claim_citation' WHEN per.unknown THEN 'unknown_or_out_of_section_claim'
+  WHEN unsettled THEN 'publication_policy_excludes_unsettled_premise' WHEN coalesce(unanchored, true) THEN 'claim_has_no_anchored_support'
+  WHEN len(list_filter({_signature_sql('stext')}, lambda w: NOT list_contains(sup.n, w))) > 0 THEN 'numeric_value_or_unit_not_supported'
+  WHEN NOT coalesce(verbatim, false) THEN 'draft_sentence_not_entailed_by_sources' ELSE 'source_support_audited' END AS reason FROM s LEFT JOIN per USING (sentence_id) LEFT JOIN sup USING (sentence_id))"""
 _TEXED = "url"
 for _c, _r in S.TEX.items():
     if _c in "&%$#_":
@@ -134,7 +152,7 @@ _HAS = lambda c: f"(contains(lower({c}), 'thering') OR contains(lower({c}), 'nat
 
 ORACLES = {
     "sentence_grounding": f"""WITH {_GROUND} SELECT id AS sentence_id, CASE WHEN reason IS NULL THEN 'editorial' WHEN reason = 'source_support_audited' THEN 'supported' ELSE 'withheld' END AS status, reason,
- CAST(CASE WHEN reason = 'source_support_audited' THEN 1 ELSE 0 END AS INTEGER) AS citations FROM g""",
+ CAST(CASE WHEN reason = 'source_support_audited' THEN k ELSE 0 END AS INTEGER) AS citations FROM g""",
     "grounding_audit": f"""WITH {_GROUND}, n AS (SELECT count(reason) AS a, count(*) FILTER (WHERE reason = 'source_support_audited') AS s FROM g)
  SELECT a AS attempted, s AS supported, a - s AS withheld, CASE WHEN a > 0 THEN round(s / a, 6) ELSE 0 END AS supported_ratio FROM n""",
     "bibliography": "SELECT min(doc_id) AS doc_id FROM documents WHERE text IN (SELECT text FROM documents JOIN labels USING (doc_id) WHERE quality = 1) GROUP BY text",
@@ -153,7 +171,7 @@ ORACLES = {
     "subject_matches": f"""SELECT doc_id, {_HAS('source')} OR {_HAS('left(text, 400)')} OR len(list_filter(p, lambda s: {_HAS('s')})) >= 2 AS matches FROM (SELECT doc_id, source, text, {_SENT.replace('text', 'left(text, 20000)')} AS p FROM documents)""",
     "identity_matches": "SELECT o_orderkey, o_orderkey % 3 = 0 OR o_custkey % 5 = 0 OR o_orderkey % 10 = o_custkey % 10 AS same FROM orders",
     "first_queries": "SELECT p_partkey, p_name || '|' || p_brand AS queries FROM part",
-    "unsupported_numbers": f"""SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(['1999', '12', '3.5', CAST(doc_id AS VARCHAR)]), lambda v: NOT list_contains(n, v))), ' ') AS missing
- FROM (SELECT doc_id, {_NUMS} AS n FROM documents)""",
+    "unsupported_numbers": f"""SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct([':1999:', ':12:', ':3.5:', ':' || doc_id || ':']), lambda v: NOT list_contains(n, v))), ' ') AS missing
+ FROM (SELECT doc_id, {_signature_sql('text')} AS n FROM documents)""",
     "tex_escapes": f"SELECT page_id, sha256({_TEXED}) AS escaped FROM pages",
 }

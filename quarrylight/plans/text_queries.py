@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.functions import quantities as Q
 from quarrylight.functions import text as X
 from quarrylight.session import table as T
 from quarrylight.sources import registry as R
@@ -152,8 +153,14 @@ def research_queries(s, d):
 
 
 def number_support(s, d):
-    a = T(s, d, "documents").where(F.col("text").rlike("[0-9]")).select("doc_id", "source", X.numbers(F.col("text")).alias("nums"))
-    return a.select("doc_id", F.size("nums").alias("n_numbers"), F.array_join("nums", " ").alias("numbers"))
+    """How many numbers a document has, and whether its length is among them."""
+    a = T(s, d, "documents").select("doc_id", Q.signatures(F.col("text")).alias("numbers"), Q.signatures(F.concat_ws(" ", "lang", "n_chars")).alias("wanted"))
+    return a.select("doc_id", F.size("numbers").alias("n_numbers"), (F.size(F.array_except("wanted", "numbers")) == 0).alias("supported"))
+
+
+def number_signatures(s, d):
+    """Canonical signatures of all numbers of whole documents."""
+    return T(s, d, "documents").select("doc_id", F.array_join(Q.signatures(F.col("text")), " ").alias("signatures"))
 
 
 def search_cache(s, d):
@@ -172,7 +179,7 @@ def source_merge(s, d):
 QUERIES = [
     host_domains, source_grades, distinct_domains, hit_filter, token_stats, content_terms, sentence_split, passage_split, stems, relevance_density,
     relevance_filter, source_ranking, query_types, slugs, corpus_manifest, manifest_totals, inverted_index_roundtrip, work_identifiers,
-    html_main_text, clean_text, factual_sentences, writing_length, research_queries, number_support, search_cache, source_merge,
+    html_main_text, clean_text, factual_sentences, writing_length, research_queries, number_support, number_signatures, search_cache, source_merge,
 ]
 
 _ST = X.topic_stems(TOPIC)
@@ -195,10 +202,30 @@ _SENT = (
     + r", '([。！？!?])[ \t\n\r\f\x0b]*', '\1' || chr(2), 'g'), '(\.)[ \t\n\r\f\x0b]+', '\1' || chr(2), 'g'), '[\r\n\f]+', chr(2), 'g'), chr(2)),"
     r" lambda x: regexp_replace(replace(x, chr(1), '.'), '^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+$', '', 'g')), lambda x: x <> '')"
 )
-_NUMS = (
-    "list_sort(list_distinct(list_transform(regexp_extract_all(regexp_replace(regexp_replace(text, '([0-9]),([0-9]{3})', '\\1\\2', 'g'), '([0-9]),([0-9]{3})', '\\1\\2', 'g'),"
-    " '[0-9]+(?:\\.[0-9]+)?'), lambda v: CASE WHEN contains(v, '.') THEN rtrim(rtrim(v, '0'), '.') ELSE v END)))"
-)
+
+
+def _signature_sql(column: str) -> str:
+    """The sorted signatures of a text without scientific units and Chinese counts, as a DuckDB list."""
+    plain = f"translate({column}, '{Q.WIDE.replace(chr(39), chr(39) * 2)}−µ⋅', '{Q.NARROW.replace(chr(39), chr(39) * 2)}-μ·')"
+    for k, (pattern, by) in enumerate(Q.REWRITES):
+        plain = f"regexp_replace({plain}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+        if not k:
+            plain = f"translate({plain}, '{Q.RAISED}', '+-0123456789')"
+    number = Q.NUMBER.replace("(?![0-9])", r"\b")
+    hit = rf"(?i)(US\$|USD ?|CNY ?|RMB ?|[$¥￥])?([+-]?{number})(?: ?({Q.WORDED})|(?:\.?[0-9]+)+[+-]?|[+-])?"
+    words = ", ".join(f"'{k}': '{v}'" for k, v in Q.WORD_UNITS.items())
+    marks = ", ".join(f"'{k}': '{v}'" for k, v in Q.CURRENCIES.items())
+    read = f"""list_transform(regexp_extract_all(trim({plain}), '{hit}'), lambda h: {{'c': lower(trim(regexp_extract(h, '{hit}', 1))), 'v': regexp_replace(regexp_extract(h, '{hit}', 2), '[ ,]', '', 'g'),
+ 'raw': regexp_extract(h, '{hit}', 2), 'u': lower(regexp_extract(h, '{hit}', 3))}})"""
+    parts = f"""list_transform({read}, lambda h: {{'c': coalesce(map {{{marks}}}[h.c], h.c), 'u': coalesce(map {{{words}}}[h.u], h.u), 'raw': h.raw, 'neg': starts_with(h.v, '-'), 'm': regexp_extract(h.v, '^[+-]?([0-9.]*)', 1),
+ 'e': CASE WHEN regexp_matches(h.v, '[eE]') THEN TRY_CAST(regexp_extract(h.v, '[eE]([+-]?[0-9]+)$', 1) AS INTEGER) ELSE 0 END}})"""
+    placed = f"list_transform({parts}, lambda h: {{'h': h, 'd': replace(h.m, '.', ''), 'p': CAST(CASE WHEN contains(h.m, '.') THEN instr(h.m, '.') - 1 ELSE length(h.m) END + h.e AS INTEGER)}})"
+    shifted = f"""list_transform({placed}, lambda x: {{'h': x.h, 'n': CASE WHEN abs(x.h.e) > 100 OR x.h.e IS NULL THEN '' WHEN x.p <= 0 THEN '0.' || repeat('0', -x.p) || x.d WHEN x.p >= length(x.d) THEN rpad(x.d, x.p, '0')
+ ELSE left(x.d, x.p) || '.' || substring(x.d, x.p + 1) END}})"""
+    short = rf"list_transform({shifted}, lambda x: {{'h': x.h, 'n': regexp_replace(regexp_replace(regexp_replace(x.n, '^0+([0-9])', '\1'), '(\.[0-9]*?)0+$', '\1'), '\.$', '')}})"
+    named = f"list_transform({short}, lambda x: x.h.c || ':' || CASE WHEN x.n = '' THEN x.h.raw WHEN x.h.neg AND x.n <> '0' THEN '-' || x.n ELSE x.n END || ':' || x.h.u)"
+    return f"list_sort(list_distinct({named}))"
+
 
 ORACLES = {
     "host_domains": f"SELECT page_id, h AS domain, {_REG} AS registrable FROM (SELECT page_id, {_HOST} AS h FROM pages)",
@@ -242,7 +269,9 @@ ORACLES = {
  WHERE regexp_matches(sentence, '[0-9]') OR regexp_matches(lower(sentence), '\\b(is|are|was|were|has|have|reported|announced|accounts|reached)\\b') GROUP BY doc_id""",
     "writing_length": "SELECT conv_id, CAST(sum(len(regexp_extract_all(text, '[A-Za-z]+')) + len(regexp_extract_all(text, '[一-鿿]'))) AS BIGINT) AS length FROM conversations GROUP BY conv_id",
     "research_queries": "SELECT p_partkey, replace(a, '{topic}', p_name) AS query FROM part, (SELECT unnest([" + ", ".join(f"'{a}'" for a in X.RESEARCH_ANGLES) + "]) AS a)",
-    "number_support": f"SELECT doc_id, CAST(len(n) AS INTEGER) AS n_numbers, array_to_string(n, ' ') AS numbers FROM (SELECT doc_id, {_NUMS} AS n FROM documents WHERE regexp_matches(text, '[0-9]'))",
+    "number_support": f"""SELECT doc_id, CAST(len(n) AS INTEGER) AS n_numbers, list_contains(n, ':' || n_chars || ':') AS supported
+ FROM (SELECT doc_id, n_chars, {_signature_sql('text')} AS n FROM documents)""",
+    "number_signatures": f"SELECT doc_id, array_to_string({_signature_sql('text')}, ' ') AS signatures FROM documents",
     "search_cache": "SELECT event_id, left(sha256(event_type || chr(10) || props), 16) AS key FROM events WHERE epoch((SELECT max(ts) FROM events)) // 1 - epoch(ts) // 1 <= 86400",
     "source_merge": """SELECT min(doc_id) AS doc_id FROM documents WHERE doc_id % 2 = 0 GROUP BY text UNION ALL
  SELECT min(doc_id) AS doc_id FROM documents a WHERE doc_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.text = a.text AND b.doc_id % 2 = 0) GROUP BY text""",

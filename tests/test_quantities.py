@@ -1,0 +1,127 @@
+"""Signatures, point quantities and cells, against hand-made cases and a plain reading with decimals."""
+
+import random
+import re
+from decimal import Context, Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from quarrylight.functions import quantities as Q
+from quarrylight.functions import units as U
+from quarrylight.operators import grounding as G
+
+
+def column(spark, texts, make):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", make(F.col("t")).alias("v")).collect()
+    return [r.v for r in sorted(rows, key=lambda r: r.i)]
+
+
+SAME = [
+    ("４２．７０％", "42.7 percent"), ("\u22128.10%", "-8.1%"), ("12,000.000", "12000"), ("7 205 GW", "7205 gigawatts"), ("9个百分点", "9 percentage points"), ("百分之12.50", "12.5%"),
+    ("18014398509481985", "18014398509481985.00"), ("2.5 × 10^6 kWh", "2500000 kWh"), ("2.5×10⁶ kWh", "2.5e6 kWh"), ("10⁻³ S cm⁻¹", "0.001 S/cm"), ("两款固态电池", "2款电池"), ("二十一款车型", "21款新型车型"),
+    ("US$5", "$5.0"), ("4 mAh g-1", "4.0 mAh/g"), ("30 basis points", "30个基点"), ("8 ohm", "8 Ω"), ("", "no number"), ("-0.0", "0"),
+]
+DIFFERENT = [
+    ("4.2%", "42%"), ("-4%", "4%"), ("4%", "4个百分点"), ("7亿元", "7万元"), ("7GW", "7GWh"), ("18014398509481984", "18014398509481985"), ("亏损-2.5亿元", "亏损2.5亿元"), ("5 mS/cm", "5 S/cm"),
+    ("2023年", "2024年"), ("两款电池", "三款电池"), ("两款电池", "两款车型"), ("$5", "¥5"), ("5 million", "5 billion"),
+]
+
+
+def test_signatures_ignore_spelling_alone(spark):
+    got = column(spark, [t for pair in SAME + DIFFERENT for t in pair], Q.signatures)
+    for k, (a, b) in enumerate(SAME + DIFFERENT):
+        assert (got[2 * k] == got[2 * k + 1]) == (k < len(SAME)), (a, b, got[2 * k], got[2 * k + 1])
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("10-20 pages, 1.2.3 v3.5 12,3456 5% -3% XY-19", {":-19:", ":-3:%", ":1.2:", ":10:", ":12345:", ":20:", ":3.5:", ":5:%"}),
+        ("Ionic conductivity (mS cm⁻¹): 1.2; Temperature (°C): 25", {":1.2:", ":1.2:mS/cm", ":25:", ":25:°C"}),
+        ("a 12 3456 b 1e400", {":12:", ":3456:", ":1e400:"}), ("共有十款产品和7款产品", {":10:", "count:10:产品", ":7:", "count:7:产品"}), (None, set()), ("一百款产品", set()),
+    ],
+)
+def test_signatures_of_texts(spark, text, want):
+    assert set(column(spark, [text], Q.signatures)[0]) == want
+
+
+def plain_value(sign, whole, part, power):
+    v = Decimal(f"{sign}{whole}{'.' + part if part else ''}").scaleb(power, Context(prec=300))
+    out = f"{v:f}"
+    out = out.rstrip("0").rstrip(".") if "." in out else out
+    return "0" if not v else out
+
+
+def test_values_are_exact(spark):
+    rnd, texts, want = random.Random(5), [], []
+    for _ in range(400):
+        sign, whole = rnd.choice(["", "-", "+"]), str(rnd.randrange(10 ** rnd.randrange(1, 25)))
+        part, power = rnd.choice(["", "0", "00", str(rnd.randrange(10**9)), "0" * 5 + "1"]), rnd.choice([0, 0, 3, -7, 12, 99, -40])
+        shown = f"{int(whole):,}" if rnd.random() < 0.3 else whole
+        texts.append(f"x {sign}{shown}{'.' + part if part else ''}{f'e{power}' if power else ''} %")
+        want.append([f":{plain_value(sign, whole, part, power)}:%"])
+    assert column(spark, texts, Q.signatures) == want
+
+
+def test_chinese_counts(spark):
+    digits = "零一二三四五六七八九"
+    names = {n: ("" if n < 20 else digits[n // 10]) + "十" + (digits[n % 10] if n % 10 else "") if n > 9 else digits[n] for n in range(1, 100)}
+    got = column(spark, [f"发布{names[n]}款新型产品" for n in names], Q.signatures)
+    assert got == [sorted([f":{n}:", f"count:{n}:产品"]) for n in names]
+
+
+def test_support(spark):
+    rows = [("增长3.5%", "增长3.50%，去年2%", True), ("增长-3.5%", "增长3.5%", False), ("5亿元", "5万元", False), ("没有", None, True), ("3", None, False)]
+    df = spark.createDataFrame(rows, "a string, b string, want boolean")
+    assert all(r.want == r.got for r in df.select("want", Q.supported(F.col("a"), F.col("b")).alias("got")).collect())
+
+
+@pytest.mark.parametrize(
+    "text,expected",
+    [
+        ("It is 3.4 mS/cm, then 6 GW.", [("3.4", "mS/cm"), ("6", "GW")]), ("收入２，０００．５亿元", [("2000.5", "CNY 100m")]), ("升了０．７个百分点", [("0.7", "pp")]), ("价格为4,56亿元", []),
+        ("$7.5 million, US$3 bn and USD 40", [("7.5", "USD mn"), ("3", "USD bn"), ("40", "USD")]), ("2.5E2 kW", [("250", "kW")]), ("12 000 MW", [("12000", "MW")]),
+        ("2–4 MPa", []), ("2 to 4 MPa", []), ("2 MPa to 4 MPa", []), ("2 MPa ± 1", []), ("2±1 MPa", []), ("≥2 MPa", []), ("~ 2 MPa", []), ("v2.3 MPa", []), ("5 MWx", []), ("", []), (None, []),
+        ("2 MPa then 3 MPa", [("2", "MPa"), ("3", "MPa")]), ("25 °C, 5 mAh g⁻¹", [("25", "°C"), ("5", "mAh/g")]), ("5 m/s 3 m", [("3", "m")]), ("4 ms/cm", []),
+    ],
+)
+def test_point_quantities(spark, text, expected):
+    assert [tuple(q) for q in column(spark, [text], Q.point_quantities)[0]] == expected
+
+
+@pytest.mark.parametrize(
+    "header,cell,want",
+    [("Power (MW)", "1,250", ("1250", "MW")), ("Power", "3 GW", ("3", "GW")), ("Power (MW) or energy (GWh)", "3", None), ("Power (MW)", "2–3", None), ("Name", "4", None), ("Power (MW)", ">4", None), (None, None, None),
+     ("σ (mS cm⁻¹)", "1.2×10⁻³", ("0.0012", "mS/cm")), ("x (MS/cm)", "1", None)],
+)
+def test_cells(spark, header, cell, want):
+    df = spark.createDataFrame([(header, cell)], "h string, c string")
+    got = df.select(Q.header_quantity(F.col("h"), F.col("c")).alias("q")).first().q
+    assert (got and tuple(got)) == want
+
+
+def test_every_unit_is_read(spark):
+    names = [n for n in {**U._EXACT, **U._FOLDED} if re.match(r"^[A-Za-z%°Ωμ]", n)]
+    got = column(spark, [f"7 {n}" for n in names], Q.point_quantities)
+    for name, found in zip(names, got, strict=True):
+        assert [tuple(q) for q in found] == [("7", U.parse_unit(name)[0])], name
+
+
+def test_a_sentence_with_another_sign_is_withheld(spark):
+    cases = [("利润增长3.5%。", None), ("利润增长35%。", "numeric_value_or_unit_not_supported"), ("利润增长-3.5%。", "numeric_value_or_unit_not_supported"), ("利润增长3.5个百分点。", "numeric_value_or_unit_not_supported")]
+    sentences = spark.createDataFrame([(k, t, [1], False) for k, (t, _) in enumerate(cases)], "sentence_id long, text string, claim_ids array<long>, editorial boolean")
+    claims = spark.createDataFrame([(1, "利润增长3.5%。", False)], "claim_id long, text string, disputed boolean")
+    evidence = spark.createDataFrame([(9, 1, "利润增长3.5%。")], "citation_id long, claim_id long, quote string")
+    got = {r.sentence_id: r for r in G.grounded(sentences, claims, evidence, sentences.select("sentence_id")).collect()}
+    for k, (_, reason) in enumerate(cases):
+        assert got[k].status == ("withheld" if reason else "supported") and got[k].reason == (reason or G.SUPPORTED)
+
+
+def test_repeated_lines_are_one_case(spark):
+    n = 3000
+    sentences = spark.createDataFrame([(k, "The same line.", [], False) for k in range(n)], "sentence_id long, text string, claim_ids array<long>, editorial boolean")
+    claims = spark.createDataFrame([(k, "the same  LINE.", False) for k in range(n)], "claim_id long, text string, disputed boolean")
+    evidence = spark.createDataFrame([(k, k, "The same line.") for k in range(n)], "citation_id long, claim_id long, quote string")
+    got = G.grounded(sentences, claims, evidence).groupBy("status", F.size("citation_ids").alias("n")).count().collect()
+    assert [tuple(r) for r in got] == [("supported", n, n)]
