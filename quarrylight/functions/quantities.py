@@ -76,6 +76,11 @@ WORDED = _any([*WORD_UNITS, "usd  bn"])
 HIT = rf"(?i)({_CURRENCY})?([+-]?{NUMBER})(?: ?((?:{_any(_SCIENTIFIC)}){_END}|{WORDED})|(?:\.?[0-9]+)+[+-]?|[+-])?"
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value made once, however often it stands in there."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def spelled(text: Column) -> Column:
     """One spelling: ASCII digits and signs, one blank between words, raised digits as ``^``, powers as ``e``, units by their symbols."""
     out = F.translate(F.coalesce(text, F.lit("")), WIDE + "−µ⋅", NARROW + "-μ·")
@@ -86,22 +91,35 @@ def spelled(text: Column) -> Column:
     return F.trim(out)
 
 
+def groups(hit: Column, pattern: str, n: int) -> Column:
+    """The first ``n`` groups of a hit of ``pattern`` as an array, empty where a group has no part in it; one match instead of ``n``."""
+    return F.split(F.regexp_replace(hit, pattern, "\u0001".join(f"${k + 1}" for k in range(n))), "\u0001", -1)
+
+
 def canonical(number: Column) -> Column:
     """A number without grouping, exponent and zeros that say nothing; as it is where the exponent is beyond 100."""
-    v = F.regexp_replace(number, "[ ,]", "")
-    mantissa = F.regexp_extract(v, r"^[+-]?([0-9.]*)", 1)
-    exponent = F.when(v.rlike("[eE]"), F.regexp_extract(v, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int")).otherwise(0)
-    digits = F.replace(mantissa, F.lit("."))
-    point = F.when(mantissa.contains("."), F.instr(mantissa, ".") - 1).otherwise(F.length(mantissa)) + exponent
-    n = F.length(digits)
-    plain = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(point >= n, F.rpad(digits, point, "0"))
-        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
-    )
-    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"^0+([0-9])", "$1"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
-    signed = F.when((plain != "0") & v.startswith("-"), F.concat(F.lit("-"), plain)).otherwise(plain)
-    return F.when(F.abs(exponent) <= 100, signed).otherwise(number)
+
+    def parts(v: Column) -> Column:
+        exponent = F.when(v.rlike("[eE]"), F.regexp_extract(v, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int")).otherwise(0)
+        return F.struct(F.regexp_extract(v, r"^[+-]?([0-9.]*)", 1).alias("mantissa"), exponent.alias("power"), v.startswith("-").alias("minus"))
+
+    def placed(p: Column) -> Column:
+        m = p["mantissa"]
+        point = F.when(m.contains("."), F.instr(m, ".") - 1).otherwise(F.length(m)) + p["power"]
+        return F.struct(F.replace(m, F.lit(".")).alias("digits"), point.alias("point"), p["power"].alias("power"), p["minus"].alias("minus"))
+
+    def shifted(p: Column) -> Column:
+        digits, point = p["digits"], p["point"]
+        plain = (
+            F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            .when(point >= F.length(digits), F.rpad(digits, point, "0"))
+            .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
+        )
+        short = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"^0+([0-9])", "$1"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+        return bound(F.when(F.abs(p["power"]) <= 100, short), lambda n: F.when(p["minus"] & (n != "0"), F.concat(F.lit("-"), n)).otherwise(n))
+
+    made = lambda n: F.coalesce(bound(bound(bound(F.regexp_replace(n, "[ ,]", ""), parts), placed), shifted), n)
+    return bound(number, made)
 
 
 def _map(values: dict[str, str]) -> Column:
@@ -109,18 +127,21 @@ def _map(values: dict[str, str]) -> Column:
     return F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in values.items()) + ")")
 
 
+_SCIENCE_OF = {n: _UNITS[n] for n in _SCIENTIFIC}
+
+
 def _signature(hit: Column) -> Column:
-    currency = F.lower(F.trim(F.regexp_extract(hit, HIT, 1)))
-    raw = F.regexp_extract(hit, HIT, 3)
-    low = F.lower(raw)
-    science = raw.rlike(rf"^(?i)(?:{_any(_SCIENTIFIC)})$")
-    unit = (
-        F.when(raw == "", "")
-        .when(science, F.coalesce(F.try_element_at(_map({n: _UNITS[n] for n in _SCIENTIFIC}), raw), F.concat(F.lit("scientific:"), F.replace(raw, F.lit(" ")))))
-        .otherwise(F.coalesce(F.try_element_at(_map(WORD_UNITS), low), low))
-    )
-    mark = F.coalesce(F.try_element_at(_map(CURRENCIES), currency), currency)
-    return F.concat(mark, F.lit(":"), canonical(F.regexp_extract(hit, HIT, 2)), F.lit(":"), unit)
+    def read(g: Column) -> Column:
+        currency, raw = F.lower(F.trim(g[0])), g[2]
+        science = F.lower(raw).isin([n.lower() for n in _SCIENTIFIC])
+        unit = (
+            F.when(raw == "", "")
+            .when(science, F.coalesce(F.try_element_at(_map(_SCIENCE_OF), raw), F.concat(F.lit("scientific:"), F.replace(raw, F.lit(" ")))))
+            .otherwise(F.coalesce(F.try_element_at(_map(WORD_UNITS), F.lower(raw)), F.lower(raw)))
+        )
+        return F.concat(F.coalesce(F.try_element_at(_map(CURRENCIES), currency), currency), F.lit(":"), canonical(g[1]), F.lit(":"), unit)
+
+    return bound(groups(hit, HIT, 3), read)
 
 
 _DIGITS = "零一二三四五六七八九"
@@ -151,13 +172,17 @@ def product_counts(text: Column) -> Column:
 
 def signatures(text: Column) -> Column:
     """Distinct signatures of a text's numbers, sorted; labelled cells (``label (unit): 1.2``) count with the unit of their label."""
-    plain = spelled(text)
-    found = F.transform(F.regexp_extract_all(plain, F.lit(HIT), F.lit(0)), _signature)
+    none = F.array().cast("array<string>")
     pair = lambda o: F.concat(F.lit(":"), o["value"], F.lit(":"), o["unit"])
-    labels = F.when(plain.contains(":"), F.transform(labelled_quantities(text), pair)).otherwise(F.array().cast("array<string>"))
-    counts = F.when(plain.contains("款"), product_counts(plain)).otherwise(F.array().cast("array<string>"))
+
+    def read(plain: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(plain, F.lit(HIT), F.lit(0)), _signature)
+        labels = F.when(plain.contains(":"), F.transform(labelled_quantities(text), pair)).otherwise(none)
+        counts = F.when(plain.contains("款"), product_counts(plain)).otherwise(none)
+        return F.array_sort(F.array_distinct(F.concat(found, labels, counts)))
+
     worth = F.coalesce(text, F.lit("")).rlike(r"[0-9０-９]|[一二两三四五六七八九十]\s*款")
-    return F.when(worth, F.array_sort(F.array_distinct(F.concat(found, labels, counts)))).otherwise(F.array().cast("array<string>"))
+    return F.when(worth, bound(spelled(text), read)).otherwise(none)
 
 
 def supported(text: Column, evidence: Column) -> Column:
@@ -193,25 +218,24 @@ def point_quantities(text: Column) -> Column:
 
     Both ends of a range, bounds, uncertainties and approximations are left out.
     """
-    hits = F.transform(
-        F.regexp_extract_all(spelled(text), F.lit(POINT), F.lit(0)),
-        lambda h: F.struct(
-            F.regexp_extract(h, POINT, 1).alias("open"),
-            F.regexp_extract(h, POINT, 2).alias("glued"),
-            F.concat(F.regexp_extract(h, POINT, 3), F.regexp_extract(h, POINT, 5)).alias("number"),
-            F.when(F.regexp_extract(h, POINT, 3) != "", F.concat(F.lit("USD"), F.coalesce(F.try_element_at(_map(_SIZES), F.lower(F.regexp_extract(h, POINT, 4))), F.lit(""))))
-            .otherwise(symbol_of(F.regexp_extract(h, POINT, 6)))
-            .alias("unit"),
-            F.regexp_extract(h, POINT, 7).alias("join"),
-        ),
-    )
-
-    def kept(all_hits: Column) -> Column:
-        last = lambda i: F.try_element_at(all_hits, i)["join"]
-        alone = lambda h, i: (h["open"] == "") & (h["glued"] == "") & (h["join"] == "") & (F.when(i == 0, "").otherwise(last(i)) == "") & h["unit"].isNotNull()
-        return F.transform(F.filter(all_hits, alone), lambda h: F.struct(canonical(h["number"]).alias("value"), h["unit"].alias("unit")))
-
-    return F.flatten(F.transform(F.array(hits), kept))  # binds the hits, so they are made once
+    return spelled_points(spelled(text))
+
+
+def spelled_points(plain: Column) -> Column:
+    """:func:`point_quantities` of a text that is spelled already."""
+
+    def read(g: Column) -> Column:
+        dollars = F.concat(F.lit("USD"), F.coalesce(F.try_element_at(_map(_SIZES), F.lower(g[3])), F.lit("")))
+        unit = F.when(g[2] != "", dollars).when(g[5] != "", symbol_of(g[5]))
+        return F.struct(((g[0] == "") & (g[1] == "") & (g[6] == "")).alias("closed"), (g[6] != "").alias("joins"), F.concat(g[2], g[4]).alias("number"), unit.alias("unit"))
+
+    def kept(hits: Column) -> Column:
+        joined = lambda i: F.when(i == 0, False).otherwise(F.try_element_at(hits, i)["joins"])
+        alone = F.filter(hits, lambda h, i: h["closed"] & h["unit"].isNotNull() & ~joined(i))
+        return F.transform(alone, lambda h: F.struct(canonical(h["number"]).alias("value"), h["unit"].alias("unit")))
+
+    hits = F.transform(F.regexp_extract_all(plain, F.lit(POINT), F.lit(0)), lambda h: bound(groups(h, POINT, 7), read))
+    return bound(hits, kept)
 
 
 # --- cells below headers
@@ -225,16 +249,23 @@ def header_quantity(header: Column, cell: Column, dimensions: Column | None = No
 
     The cell's own unit counts; a bare number takes the one unit that the header names, of the ``dimensions`` (an array) where it is not empty.
     """
-    body, head = spelled(cell), spelled(header)
-    own = F.regexp_extract(body, _CELL, 2)
-    named = F.array_distinct(F.transform(F.regexp_extract_all(head, F.lit(_IN_HEADER), F.lit(0)), symbol_of))
-    if dimensions is not None:
-        named = F.filter(named, lambda u: u.isNull() | (F.size(dimensions) == 0) | F.array_contains(dimensions, dimension_of(u)))
-    bare = body.rlike(rf"^[+-]?{NUMBER}$")
-    only = lambda u: F.when((F.size(u) == 1), F.element_at(u, 1))
-    unit = F.when(own != "", symbol_of(own)).when(bare, F.element_at(F.transform(F.array(named), only), 1))
-    number = F.when(own != "", F.regexp_extract(body, _CELL, 1)).otherwise(body)
-    return F.when(unit.isNotNull(), F.struct(canonical(number).alias("value"), unit.alias("unit")))
+
+    def units(head: Column) -> Column:
+        return F.array_distinct(F.transform(F.regexp_extract_all(head, F.lit(_IN_HEADER), F.lit(0)), symbol_of))
+
+    def of_dimensions(found: Column) -> Column:
+        if dimensions is None:
+            return found
+        return bound(dimensions, lambda d: F.filter(found, lambda u: u.isNull() | (F.size(d) == 0) | F.array_contains(d, dimension_of(u))))
+
+    def read(body: Column) -> Column:
+        own = F.regexp_extract(body, _CELL, 2)
+        only = lambda u: F.when(F.size(u) == 1, F.element_at(u, 1))
+        below = F.when(body.rlike(rf"^[+-]?{NUMBER}$"), bound(of_dimensions(bound(spelled(header), units)), only))
+        number = F.when(own != "", F.regexp_extract(body, _CELL, 1)).otherwise(body)
+        return bound(F.when(own != "", symbol_of(own)).otherwise(below), lambda u: F.when(u.isNotNull(), F.struct(canonical(number).alias("value"), u.alias("unit"))))
+
+    return bound(spelled(cell), read)
 
 
 FIELDS = r"[;；\n]|\s+\|\s+(?=[^|:：]{1,120}[:：])"
