@@ -119,8 +119,7 @@ def tex_escapes(s, d):
 
 
 def gap_windows(s, d):
-    w = P.gap_window(F.col("text"), "thering nation market", 2000)
-    return T(s, d, "documents").select("doc_id", w.alias("w")).where("w.start is not null").select("doc_id", "w.start", "w.stop", "w.score")
+    return P.gap_windows(T(s, d, "documents"), "doc_id", "text", "Which thering nation market?", 2000)
 
 
 QUERIES = [

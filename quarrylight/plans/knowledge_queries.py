@@ -49,9 +49,11 @@ def passage_retrieval(s, d):
     return got.select("doc_id", F.array_join(F.col("places").cast("array<string>"), ",").alias("places"), F.length("text").alias("chars"))
 
 
+QUESTIONS = ["Which thering nation market?", "制造 风险 and the secret license"]
+
+
 def extraction_windows(s, d):
-    w = P.windows(F.col("text"), ["thering nation market"], 2000, 3)
-    return T(s, d, "documents").select("doc_id", F.explode(w).alias("w")).select("doc_id", "w.start", "w.stop")
+    return P.windows(T(s, d, "documents"), "doc_id", "text", QUESTIONS, 2000, 3).select("doc_id", "start", "stop")
 
 
 def work_records(s, d):

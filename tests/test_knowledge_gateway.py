@@ -9,7 +9,6 @@ from quarrylight.functions import text as X
 from quarrylight.operators import gateway as G
 from quarrylight.operators import graph, grounding, packets, screening
 from quarrylight.operators import knowledge as K
-from quarrylight.operators import passages as P
 from quarrylight.operators.retrieval import RequestContext, WebQuery, contains_json, visible
 from quarrylight.sources import records as R
 from quarrylight.sources import registry as S
@@ -70,35 +69,6 @@ def test_router(spark):
     assert trail[0].arg_keys == ["n"] and len(reg.manifest(())) == 1
 
 
-def test_windows_cover_and_overlap():
-    text = ". ".join(f"sentence {i} about topic{i % 7}" for i in range(400)) + "\n\nReferences\n" + "x " * 50
-    end = P.body_end(text, 1000)
-    assert text[end:].strip().startswith("References")
-    got = P.cut(text[:end], 1000)
-    assert got[0][0] == 0 and all(b - a <= 1000 for a, b in got) and got[-1][1] == end
-    for (a1, b1), (a2, _) in zip(got, got[1:], strict=False):
-        assert a2 == max(a1 + 500, b1 - 100) and text[b1 - 1] == "."
-
-
-def test_the_window_that_adds_most_is_taken():
-    parts = ["intro " * 30, "alpha beta " * 15, "alpha " * 30, "gamma delta " * 15, "alpha beta " * 15]
-    text = "\n".join(p.strip() for p in parts)
-    windows = P.cut(text, 200)
-    for questions in (["alpha beta"], ["alpha", "gamma delta"], ["nothing here"], []):
-        for limit in (2, 3, 4):
-            want, left = [0], set(range(1, len(windows)))
-            of = lambda q, i: sum(t in text[slice(*windows[i])].split() for t in q.split())
-            while len(want) < min(limit, len(windows)):
-                adds = lambda i, want=want: sum(max(0, of(q, i) - max(of(q, j) for j in want)) for q in questions)
-                pick = max(left, key=lambda i: (adds(i), sum(of(q, i) for q in questions), i))
-                want.append(pick)
-                left.discard(pick)
-            assert P.choose(text, questions, 200, limit) == [windows[i] for i in sorted(want)]
-    start, stop, found = P.gap(text, "gamma delta", 200)
-    assert found == 2 and "gamma" in text[start:stop]
-    assert P.gap(text, "omega", 200) is None and P.choose("short", ["x"], 200, 3) == [(0, 5)]
-
-
 def test_web_query():
     q = WebQuery.parse('solid "state battery" cell or pack -toy')
     assert q.groups == (("solid",), ("cell", "pack")) and q.phrases == ("state battery",) and q.excluded == ("toy",)

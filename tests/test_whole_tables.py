@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from quarrylight.operators import grounding, origins, passages, windows
+from quarrylight.operators import grounding, origins, windows
 from quarrylight.plans import catalogue
 
 
@@ -124,14 +124,3 @@ def test_concepts_are_spread_as_by_hand(spark):
             left.discard(pick)
         got = grounding.spread_over_concepts(rows, "k", "t", concepts, most).orderBy("place").collect()
         assert [r.k for r in got] == want
-
-
-def test_windows_of_all_documents(spark):
-    d = "/root/testdata/sf0.001"
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
-    got = catalogue.queries()["extraction_windows"](spark, d).collect()
-    want = [(i, a, b) for i, t in docs.items() for a, b in (passages.choose(t, ["thering nation market"], 2000, 3) if t else [])]
-    assert sorted(tuple(r) for r in got) == sorted(want)
-    for i in docs:  # whole texts up to their references, or as many windows as asked for
-        mine = [(a, b) for k, a, b in want if k == i]
-        assert not docs[i] or len(mine) == 3 or mine[-1][1] in (passages.body_end(docs[i], 2000), 2000, len(docs[i]))
