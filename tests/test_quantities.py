@@ -125,3 +125,11 @@ def test_repeated_lines_are_one_case(spark):
     evidence = spark.createDataFrame([(k, k, "The same line.") for k in range(n)], "citation_id long, claim_id long, quote string")
     got = G.grounded(sentences, claims, evidence).groupBy("status", F.size("citation_ids").alias("n")).count().collect()
     assert [tuple(r) for r in got] == [("supported", n, n)]
+
+
+def test_english_between_chinese_clauses(spark):
+    from quarrylight.operators.packets import mixed_words
+
+    cases = {"市场continues to grow很快": ["continues to grow"], "采用abc技术": [], "利用(solid state)电池": [], "㐀market share㐀": ["market share"], "用EIS测量": [], "a market 增长": []}
+    for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", mixed_words(F.col("t")).alias("w")).collect():
+        assert r.w == cases[r.t], r.t
