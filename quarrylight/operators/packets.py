@@ -157,7 +157,7 @@ def finding_errors(findings: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def mixed_words(text: Column) -> Column:
-    """English prose left between Chinese clauses: up to four lower-case words, the first of four letters or more, those in brackets aside."""
+    """English prose left between Chinese clauses: up to four lower-case words, the first of four letters or more, others of three or more; those in brackets aside."""
     outside = F.regexp_replace(text, r"[(（][^()（）\n]*[A-Za-z][^()（）\n]*[)）]", "")
     return F.regexp_extract_all(outside, F.lit(r"(?<=[\x{3400}-\x{9fff}])\s*([a-z]{4,}(?:[ -][a-z]{3,}){0,3})\s*(?=[\x{3400}-\x{9fff}])"), F.lit(1))
 

@@ -130,6 +130,6 @@ def test_repeated_lines_are_one_case(spark):
 def test_english_between_chinese_clauses(spark):
     from quarrylight.operators.packets import mixed_words
 
-    cases = {"市场continues to grow很快": ["continues to grow"], "采用abc技术": [], "利用(solid state)电池": [], "㐀market share㐀": ["market share"], "用EIS测量": [], "a market 增长": []}
+    cases = {"市场continues and grows很快": ["continues and grows"], "市场goes to grow很快": [], "采用abc技术": [], "利用(solid state)电池": [], "㐀market share㐀": ["market share"], "用EIS测量": [], "a market 增长": []}
     for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", mixed_words(F.col("t")).alias("w")).collect():
         assert r.w == cases[r.t], r.t
