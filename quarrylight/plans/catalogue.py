@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarrylight.session import prepare
 
-from . import claim_queries, grounding_queries, knowledge_queries, metric_queries, packet_queries, retrieval_queries, text_queries, verification_queries, window_queries
+from . import claim_queries, evaluation_queries, grounding_queries, knowledge_queries, metric_queries, packet_queries, retrieval_queries, text_queries, verification_queries, window_queries
 
-MODULES = (text_queries, retrieval_queries, claim_queries, window_queries, knowledge_queries, grounding_queries, packet_queries, metric_queries, verification_queries)
+MODULES = (text_queries, retrieval_queries, claim_queries, window_queries, knowledge_queries, grounding_queries, packet_queries, metric_queries, verification_queries, evaluation_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
