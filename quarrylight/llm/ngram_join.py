@@ -337,9 +337,10 @@ MEMBER = np.dtype([("name", "<u8"), ("size", "<i4"), ("place", "<i4")])
 
 
 def _lists(percent: int, unit: int):
-    """Of a bucket: its lists of two sets and more, one row each; lists of the same sets once.
+    """Of a bucket: its lists of two sets and more; lists of the same sets once.
 
-    ``sure``: a list of a subset, the first set links with all others.
+    ``sure``: a list of a subset, the first set links with all others.  A list of more than ``2 * unit`` sets is cut into
+    ``parts``, a row each with its ``nth``, so what a task gives is no more than what it got.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -354,7 +355,8 @@ def _lists(percent: int, unit: int):
             members["name"], members["size"], members["place"] = entries["name"], entries["size"], entries["place"]
             mixed = mix(entries["name"])
             first, second = np.add.reduceat(mixed, cut), np.add.reduceat(mix(mixed + np.uint64(1)), cut)
-            for a, b, x, y in zip(cut.tolist(), ends.tolist(), first.view(np.int64).tolist(), second.view(np.int64).tolist(), strict=True):
+            tokens = entries["token"][cut].view(np.int64).tolist()
+            for a, b, x, y, token in zip(cut.tolist(), ends.tolist(), first.view(np.int64).tolist(), second.view(np.int64).tolist(), tokens, strict=True):
                 if b - a < 2:
                     continue
                 part = members[a:b]
@@ -365,15 +367,15 @@ def _lists(percent: int, unit: int):
                     ok[0] = True
                     if ok.sum() > 1:
                         part = part[ok]
-                        rows[x, y, True, int(part["place"][0]), 0] = part.tobytes()
+                        rows[x, y, True, int(part["place"][0]), 0] = 1, token, part.tobytes()
                 elif b - a <= 2 * unit:
-                    rows[x, y, False, 0, 0] = part.tobytes()
+                    rows[x, y, False, 0, 0] = 1, token, part.tobytes()
                 else:
                     p = -(-(b - a) // unit)
                     cuts = np.linspace(0, b - a, p + 1).astype(int)
-                    for n, (i, j) in enumerate(combinations(range(p), 2)):
-                        rows[x, y, False, 0, n] = part[cuts[i] : cuts[i + 1]].tobytes() + part[cuts[j] : cuts[j + 1]].tobytes()
-        return pd.DataFrame([(*k, v) for k, v in rows.items()], columns=["x", "y", "sure", "o", "n", "members"])
+                    for i in range(p):
+                        rows[x, y, False, 0, i] = p, token, part[cuts[i] : cuts[i + 1]].tobytes()
+        return pd.DataFrame([(*k, *v) for k, v in rows.items()], columns=["x", "y", "sure", "o", "nth", "parts", "token", "members"])
 
     return run
 
@@ -388,7 +390,7 @@ def _members(batches):
         for a in range(0, len(rows), 20_000):
             part = slice(a, a + 20_000)
             yield pd.DataFrame(
-                {"list": of("list")[part], "sure": of("sure")[part], "at": at[part], "name": np.ascontiguousarray(rows["name"]).view(np.int64)[part], "size": rows["size"][part], "place": rows["place"][part]}
+                {"list": of("list")[part], "nth": of("nth")[part], "parts": of("parts")[part], "sure": of("sure")[part], "at": at[part], "name": np.ascontiguousarray(rows["name"]).view(np.int64)[part], "size": rows["size"][part], "place": rows["place"][part]}
             )
 
 
@@ -717,14 +719,20 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     entries = int(frequency.sum(dtype=np.int64)) * (100 - percent) // 100
     buckets = buckets or max(8, math.ceil(entries / 1_000_000), tasks)
     packed = texts.mapInArrow(_postings(k, percent, boundary, buckets, part, shared), "bucket int, part long, entries binary")
-    lists = packed.groupBy("bucket").applyInPandas(_lists(percent, unit), "x long, y long, sure boolean, o int, n int, members binary")
-    lists = durable(lists.groupBy("x", "y", "sure", "o", "n").agg(F.first("members").alias("members")).select(F.xxhash64("x", "y", "sure", "o", "n").alias("list"), "sure", "members"), "lists")
-    met = lists.agg(F.coalesce(F.sum(F.octet_length("members")), F.lit(0))).first()[0] // MEMBER.itemsize
+    lists = packed.groupBy("bucket").applyInPandas(_lists(percent, unit), "x long, y long, sure boolean, o int, nth int, parts int, token long, members binary")
+    # All parts of a list are those of one shingle, as places are only comparable there.
+    lists = lists.groupBy("x", "y", "sure", "o", "nth", "parts").agg(F.min_by("members", "token").alias("members"))
+    lists = durable(lists.select(F.xxhash64("x", "y", "sure", "o").alias("list"), "sure", "nth", "parts", "members"), "lists")
+    copies = F.greatest(F.lit(1), F.col("parts") - 1).cast("long")
+    met = lists.agg(F.coalesce(F.sum(F.octet_length("members") * copies), F.lit(0))).first()[0] // MEMBER.itemsize
     bucket = F.pmod(F.xxhash64("list"), F.lit(max(tasks, math.ceil(met / ENTRIES))))
     forests = (
-        lists.mapInPandas(_members, "list long, sure boolean, at int, name long, size int, place int")
+        lists.mapInPandas(_members, "list long, nth int, parts int, sure boolean, at int, name long, size int, place int")
         .join(sets.select("name", "key", "n", "bitmap"), "name")
         .where(F.col("size") == F.col("n"))
+        # Sets have met their bitmaps once; now each two parts of a long list are a list of their own.
+        .withColumn("other", F.explode(F.when(F.col("parts") == 1, F.array("nth")).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != F.col("nth")))))
+        .withColumn("list", F.when(F.col("parts") == 1, F.col("list")).otherwise(F.xxhash64("list", F.least("nth", "other"), F.greatest("nth", "other"))))
         .select("list", "sure", "at", "size", "place", "key", "bitmap")
         .groupBy(bucket.alias("task"))
         .applyInPandas(_forest(percent), "u binary, v binary")

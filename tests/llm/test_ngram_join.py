@@ -102,6 +102,29 @@ def test_long_lists_are_scanned_in_parts(spark):
     assert Counter((r.id, r.n_shingles, r.component_id) for r in got) == want
 
 
+def test_a_hot_list_leaves_its_task_no_larger_than_it_came():
+    np, n = ngram_join.np, 200_000
+    entries = np.zeros(n, ngram_join.ENTRY)
+    entries["token"], entries["name"], entries["size"], entries["place"] = 7, np.arange(n), 40, 1
+    got = ngram_join._lists(85, 512)(ngram_join.pd.DataFrame({"part": [0], "entries": [entries.tobytes()]}))
+    assert got["members"].str.len().sum() == n * ngram_join.MEMBER.itemsize  # 3.2 MB
+    assert len(got) == got["parts"].iloc[0] == -(-n // 512) and got["members"].str.len().max() <= 512 * ngram_join.MEMBER.itemsize
+
+
+def test_long_lists_of_the_same_sets_in_several_shingles(spark):
+    """The shared shingles stand at other places of each set's order, and parts of one list must not meet those of another."""
+    rnd = random.Random(11)
+    shared = [f"s{i}" for i in range(24)]
+    data = []
+    for i in range(90):
+        own = [f"x{i}_{j}" for j in range(rnd.randint(0, 9))]
+        at = rnd.randrange(len(shared))
+        text = shared + own if rnd.random() < 0.5 else own + shared
+        data.append((i, " ".join(text[:at] + [f"y{i}"] + text[at:])))
+    for seed in (4, 5):
+        assert joined(spark, data, 2, 70, boundary=0, unit=seed, part=30) == brute(data, 2, 70)
+
+
 def test_boundary_follows_cost():
     assert ngram_join.choose_boundary({}, {}, 85) == 0
     crowded = {7: 1000, 8: 1000}
