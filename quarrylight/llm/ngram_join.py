@@ -738,7 +738,9 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
         .applyInPandas(_forest(percent), "u binary, v binary")
     )
     forests = durable(forests, "forests")
+    release(lists)
     groups = sets.select("key", "name", "n").join(components(forests).select(F.col("v").alias("key"), "root"), "key")
+    release(forests)
     linked = _links(groups, texts, k, percent, together, tasks)
     roots = components(linked.where("key <> parent").select(F.col("key").alias("u"), F.col("parent").alias("v")))
     counted = linked.groupBy("key").agg(F.sum("links").alias("links"))
@@ -749,8 +751,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
         .select("key", "least_id", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     )
     rooted = durable(rooted, "rooted")
-    for done in (lists, forests, linked):
-        release(done)
+    release(linked)
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_key = rooted.join(least, "root").select("key", F.col("root").alias("component_key"), "component_id", "links")
     return (
