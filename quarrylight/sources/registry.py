@@ -171,10 +171,11 @@ def cache_key(backend: Column, query: Column) -> Column:
 
 
 def cache_hits(cache: DataFrame, now: Column, ttl_seconds: int, stored: str = "stored_at") -> DataFrame:
-    """Entries that are still valid; a negative time to live never ends."""
+    """Entries that are still valid, to the microsecond; a negative time to live never ends."""
     if ttl_seconds < 0:
         return cache
-    return cache.where(F.unix_timestamp(now) - F.unix_timestamp(F.col(stored)) <= ttl_seconds)
+    at = lambda c: F.unix_micros(c.cast("timestamp"))
+    return cache.where(at(now) - at(F.col(stored)) <= int(ttl_seconds * 1_000_000))
 
 
 def merge_sources(base: DataFrame, extra: DataFrame, key: str = "url") -> DataFrame:

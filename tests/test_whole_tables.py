@@ -3,8 +3,10 @@
 import random
 from collections import Counter
 
+import duckdb
+
 from quarrylight.operators import grounding, origins, windows
-from quarrylight.plans import catalogue
+from quarrylight.plans import catalogue, harness
 
 
 def walked(rows, budget):
@@ -124,3 +126,14 @@ def test_concepts_are_spread_as_by_hand(spark):
             left.discard(pick)
         got = grounding.spread_over_concepts(rows, "k", "t", concepts, most).orderBy("place").collect()
         assert [r.k for r in got] == want
+
+
+def test_cache_entries_end_to_the_microsecond(spark, tmp_path):
+    rows = [(1, "2024-01-02 00:00:00.500000"), (2, "2024-01-01 00:00:00.500000"), (3, "2024-01-01 00:00:00.499999"), (4, "2024-01-01 00:00:00.200000"), (5, "2024-01-01 00:00:00.700000")]
+    events = spark.createDataFrame(rows, "event_id long, t string").selectExpr("event_id", "cast(t as timestamp_ntz) as ts", "'view' as event_type", "'{}' as props")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.queries()["search_cache"](spark, tmp_path)
+    assert sorted(r.event_id for r in got.collect()) == [1, 2, 5]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert harness.compare(got, con, catalogue.oracle_sql()["search_cache"]) == ""
