@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,11 +18,11 @@ def _any_in(text: Column, patterns: Column) -> Column:
     return F.filter(patterns, lambda p: F.rlike(text, p))
 
 
-def covered_facts(facts: DataFrame, sentences: DataFrame, citations: DataFrame) -> DataFrame:
+def covered_facts(facts: DataFrame, sentences: DataFrame, citations: DataFrame, numbers: Callable[[Column], Column] = Q.signatures) -> DataFrame:
     """``facts`` with ``covered``: one published sentence of the case has all its patterns and numbers and cites an allowed source.
 
     ``facts(case_id, fact_id, patterns, reference, urls)``: regular expressions for the normalised sentence, a text whose
-    numbers are required, the sources that count.  ``sentences(case_id, sentence_id, text, status, citation_ids)``,
+    numbers (as ``numbers`` reads them) are required, the sources that count.  ``sentences(case_id, sentence_id, text, status, citation_ids)``,
     ``citations(case_id, citation_id, url)``.
 
     Sentences meet facts by (case, url) of what they cite, so patterns run only where the source is right, and after the
@@ -29,18 +30,20 @@ def covered_facts(facts: DataFrame, sentences: DataFrame, citations: DataFrame)
     never covered; without patterns and numbers any sentence with an allowed source covers it.  Null patterns are none.
     """
     none = F.array().cast("array<string>")
-    wanted = facts.select("case_id", "fact_id", F.array_compact(F.coalesce("patterns", none)).alias("_p"), Q.signatures(F.col("reference")).alias("_n"), "urls")
+    wanted = facts.select("case_id", "fact_id", F.array_compact(F.coalesce("patterns", none)).alias("_p"), numbers(F.col("reference")).alias("_n"), "urls")
     wanted = wanted.select("case_id", "fact_id", "_p", "_n", F.explode(F.array_distinct("urls")).alias("url"))
     said = sentences.where(F.col("status") == PUBLISHED).select("case_id", "sentence_id", "text", F.explode(F.array_distinct("citation_ids")).alias("citation_id"))
     linked = said.join(citations.select("case_id", "citation_id", "url"), ["case_id", "citation_id"])
     # A text is normalised and its numbers are read once per sentence and source, before facts multiply it.
-    once = linked.dropDuplicates(["case_id", "sentence_id", "url"]).select("case_id", "url", X.normalized(F.col("text")).alias("_t"), Q.signatures(F.col("text")).alias("_has"))
+    once = linked.dropDuplicates(["case_id", "sentence_id", "url"]).select("case_id", "url", X.normalized(F.col("text")).alias("_t"), numbers(F.col("text")).alias("_has"))
     met = wanted.join(once, ["case_id", "url"]).where(F.size(F.array_except("_n", "_has")) == 0)
     hit = met.where(F.forall("_p", lambda p: F.rlike(F.col("_t"), p))).select("case_id", "fact_id", F.lit(True).alias("covered")).dropDuplicates()
     return facts.join(hit, ["case_id", "fact_id"], "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
 
 
-def score_cases(cases: DataFrame, facts: DataFrame, sentences: DataFrame, citations: DataFrame, violations: DataFrame) -> DataFrame:
+def score_cases(
+    cases: DataFrame, facts: DataFrame, sentences: DataFrame, citations: DataFrame, violations: DataFrame, numbers: Callable[[Column], Column] = Q.signatures
+) -> DataFrame:
     """(case_id, facts, covered, missing, coverage, forbidden, errors, passed), one row per case.
 
     ``cases(case_id, forbidden, expects_abstention, abstained, expected_mode, mode, expected_origins, origins)``: patterns that
@@ -53,7 +56,7 @@ def score_cases(cases: DataFrame, facts: DataFrame, sentences: DataFrame, citati
     are the facts not covered.
     """
     wrong = violations.groupBy("case_id").agg(F.array_sort(F.collect_set("kind")).alias("_wrong"))
-    per = covered_facts(facts, sentences, citations).join(wrong, "case_id", "left").withColumn("covered", F.col("covered") & F.col("_wrong").isNull())
+    per = covered_facts(facts, sentences, citations, numbers).join(wrong, "case_id", "left").withColumn("covered", F.col("covered") & F.col("_wrong").isNull())
     per = per.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("facts"), F.count_if("covered").alias("covered"), F.array_sort(F.collect_list(F.when(~F.col("covered"), F.col("fact_id")))).alias("missing")
     )

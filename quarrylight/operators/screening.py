@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -67,9 +68,9 @@ def first_queries(objective: Column, questions: Column) -> Column:
     return F.array_distinct(F.concat(F.array(objective), F.slice(F.coalesce(questions, F.array().cast("array<string>")), 2, 2)))
 
 
-def numbers_not_in(text: Column, evidence: Column) -> Column:
+def numbers_not_in(text: Column, evidence: Column, numbers: Callable[[Column], Column] = Q.signatures) -> Column:
     """Signatures of a text's numbers that its evidence does not have."""
-    return F.array_except(Q.signatures(text), Q.signatures(evidence))
+    return F.array_except(numbers(text), numbers(evidence))
 
 
 def tex_escaped(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrylight.functions import quantities as Q
 from quarrylight.operators import grounding as G
 from quarrylight.operators import passages as P
 from quarrylight.operators import screening as S
@@ -111,7 +112,7 @@ def first_queries(s, d):
 
 def unsupported_numbers(s, d):
     x = T(s, d, "documents").select("doc_id", "text", F.concat(F.lit("In 1999 there were 12 of 3.50 and "), F.col("doc_id")).alias("draft"))
-    return x.select("doc_id", F.array_join(S.numbers_not_in(F.col("draft"), F.col("text")), " ").alias("missing"))
+    return x.select("doc_id", F.array_join(S.numbers_not_in(F.col("draft"), F.col("text"), Q.plain_signatures), " ").alias("missing"))
 
 
 def tex_escapes(s, d):
