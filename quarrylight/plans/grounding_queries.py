@@ -8,6 +8,7 @@ from quarrylight.functions import quantities as Q
 from quarrylight.operators import grounding as G
 from quarrylight.operators import passages as P
 from quarrylight.operators import screening as S
+from quarrylight.session import durable
 from quarrylight.session import table as T
 
 from .claim_queries import _CLAIMS, _sentences
@@ -19,7 +20,7 @@ _CONCEPTS = [("thering",), ("nation", "in the"), ("[0-9]",), ("secret", "token")
 
 def _drafted(s, d):
     """Every factual sentence as a draft, with claims and evidence that differ from it in numbers, signs, units, words, or are not there."""
-    x = _sentences(s, d).select("id", "claim")
+    x = durable(_sentences(s, d).select("id", "claim"), "drafted")  # read for sentences, claims and evidence
     i = F.col("id")
     ids = F.when(i % 7 == 0, F.array().cast("array<long>")).when(i % 11 == 0, F.array(i, F.lit(-1).cast("long"))).otherwise(F.array(i))
     sentences = x.select(i.alias("sentence_id"), F.col("claim").alias("text"), ids.alias("claim_ids"), (i % 19 == 0).alias("editorial"))
@@ -36,12 +37,12 @@ def _drafted(s, d):
 
 
 def sentence_grounding(s, d):
-    got = G.grounded(*_drafted(s, d))
+    got = G.grounded(*_drafted(s, d), numbers=Q.plain_signatures)
     return got.select("sentence_id", "status", "reason", F.size(F.coalesce("citation_ids", F.array().cast("array<long>"))).alias("citations"))
 
 
 def grounding_audit(s, d):
-    return G.audit(G.grounded(*_drafted(s, d)))
+    return G.audit(G.grounded(*_drafted(s, d), numbers=Q.plain_signatures))
 
 
 def bibliography(s, d):

@@ -158,3 +158,13 @@ def test_queries_read_prose_as_their_sql_does(spark, tmp_path):
 def test_plain_signatures_keep_currencies_and_unit_words(spark):
     got = column(spark, ["$5.0 and 12 percent, 3 M of 5 million", "1 234 or 1 234abc", None], Q.plain_signatures)
     assert [set(g) for g in got] == [{"usd:5:", ":12:%", ":3:", ":5:mn"}, {":1234:", ":1:", ":234:"}, set()]
+
+
+def test_quotes_of_withheld_sentences_are_not_read(spark):
+    """Numbers are read of quotes that can still decide: not of sentences with unknown or disputed claims."""
+    s = spark.createDataFrame([(1, "It was 5.", [10], False), (2, "It was 6.", [11], False), (3, "It was 7.", [99], False)], "sentence_id long, text string, claim_ids array<long>, editorial boolean")
+    c = spark.createDataFrame([(10, "a", False), (11, "b", True)], "claim_id long, text string, disputed boolean")
+    e = spark.createDataFrame([(1, 10, "It was 5."), (2, 11, "burst"), (3, 99, "burst")], "citation_id long, claim_id long, quote string")
+    strict = lambda text: F.when(text == "burst", F.raise_error(F.lit("read")).cast("array<string>")).otherwise(Q.plain_signatures(text))
+    got = {r.sentence_id: r.reason for r in G.grounded(s, c, e, numbers=strict).collect()}
+    assert got == {1: G.SUPPORTED, 2: G.REASONS[2], 3: G.REASONS[1]}
