@@ -48,6 +48,19 @@ def test_claims_of_pairs_are_made_once(spark):
     assert made.value == 50
 
 
+def test_contradictions_read_numbers_in_claims_of_pairs_alone(spark):
+    claims = spark.createDataFrame([(i, f"claim {i // 2 if i < 4 else i}") for i in range(40)], "id long, claim string")
+    pairs = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "a long, b long")
+
+    @F.udf("array<string>")
+    def numbers(text):
+        if text not in ("claim 0", "claim 1"):
+            raise ValueError(text)
+        return [text]
+
+    assert {tuple(r) for r in C.contradictions(pairs, claims, "id", "claim", numbers.asNondeterministic()).select("a", "b").collect()} == {(1, 2)}
+
+
 def test_terms_and_sentences_as_before(spark):
     texts = ["Mr. A met Dr.B. vs. x e.g. u.s. U.K. 3.5 a 1 b2 _c 中 国内 字\x01x", "odr. Go!  ok?\n\nNo。是！\r\f e. g. DR. a b.", ".\n. MRS. x. i.e.\ty", None, "", "a.  b!\x0bc"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
