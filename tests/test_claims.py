@@ -61,6 +61,26 @@ def test_contradictions_read_numbers_in_claims_of_pairs_alone(spark):
     assert {tuple(r) for r in C.contradictions(pairs, claims, "id", "claim", numbers.asNondeterministic()).select("a", "b").collect()} == {(1, 2)}
 
 
+@pytest.mark.parametrize("least,prefilter", [(0.5, 4), (0.85, 4), (0.3, 1), (1.0, 2)])
+def test_best_overlap_is_that_of_all_sentences(spark, least, prefilter):
+    rnd = random.Random(5)
+    claims, sentences = _sets(rnd, 40, 1, 14), {}
+    for k, s in _sets(rnd, 400, 1, 16).items():
+        sentences[k // 20, k % 20] = rnd.choice(list(claims.values()))[:9] + ["x"] if k % 9 == 0 else s
+    want = {}
+    for c, mine in claims.items():
+        for (doc, at), s in sorted(sentences.items()):
+            shared = len(set(mine) & set(s))
+            if shared >= prefilter and shared >= least * len(mine) - 1e-9 and shared > want.get((c, doc), (0, 0))[0]:
+                want[c, doc] = shared, at
+    left = spark.createDataFrame(list(claims.items()), "claim long, c array<string>")
+    right = spark.createDataFrame([(d, a, s) for (d, a), s in sentences.items()], "doc long, at int, s array<string>").repartition(3)
+    got = C.best_overlap(left, right, "claim", "c", "doc", "s", "at", least, prefilter)
+    assert {(r.claim, r.doc): (r.overlap, r["at"]) for r in got.collect()} == {k: (round(n / len(claims[k[0]]), 6), at) for k, (n, at) in want.items()}
+    # No shuffle of pairs of claims and sentences: what is shuffled is the best hits of a task.
+    assert "hashpartitioning(claim" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", at#" not in "".join(p.split(")")[0] for p in plan.split("hashpartitioning(")[1:])
+
+
 def test_terms_and_sentences_as_before(spark):
     texts = ["Mr. A met Dr.B. vs. x e.g. u.s. U.K. 3.5 a 1 b2 _c 中 国内 字\x01x", "odr. Go!  ok?\n\nNo。是！\r\f e. g. DR. a b.", ".\n. MRS. x. i.e.\ty", None, "", "a.  b!\x0bc"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
