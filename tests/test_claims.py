@@ -98,3 +98,16 @@ def test_terms_and_sentences_as_before(spark):
     every = F.array_distinct(X.tokens(F.col("t")))
     slow = F.filter(every, lambda t: (F.length(t) > 1) | t.rlike("^[0-9]$"))
     assert df.where(X.content_terms(F.col("t")) != slow).count() == 0
+
+
+def test_the_share_of_conflicts_is_the_same_for_any_number_of_claims(spark, monkeypatch):
+    """Above 100 claims only pairs with 0.7 of the smaller one's terms were found."""
+    from quarrylight.plans import claim_queries as P
+
+    texts = {0: "Alpha beta was gamma delta.", 1: "Alpha beta was omega sigma."} | {10 + i: f"Word{i} is number{i}." for i in range(160)}
+    for n in (2, 200):
+        rows = [(i, t) for i, t in texts.items()][:n]
+        monkeypatch.setattr(P, "T", lambda s, d, name, rows=rows: s.createDataFrame(rows, "doc_id long, text string"))
+        assert (0, 100_000) in {(r.a, r.b) for r in P.conflict_pairs(spark, "").collect()}
+        monkeypatch.setattr(P.Q, "plain_signatures", lambda c: F.array(F.substring(c, 16, 5)))
+        assert (0, 100_000) in {(r.a, r.b) for r in P.contradictions(spark, "").collect()}
