@@ -111,3 +111,16 @@ def test_the_share_of_conflicts_is_the_same_for_any_number_of_claims(spark, monk
         assert (0, 100_000) in {(r.a, r.b) for r in P.conflict_pairs(spark, "").collect()}
         monkeypatch.setattr(P.Q, "plain_signatures", lambda c: F.array(F.substring(c, 16, 5)))
         assert (0, 100_000) in {(r.a, r.b) for r in P.contradictions(spark, "").collect()}
+
+
+def test_short_claims_have_their_best_sentences_too(spark, monkeypatch):
+    """Claims of fewer than four terms and sentences with fewer than four shared ones were left out."""
+    from quarrylight.plans import claim_queries as P
+
+    tables = {
+        "benchmark": ("item_id", [(1, "Alpha beta."), (2, "Alpha beta gamma delta omega sigma."), (3, "Kappa."), (4, "x")]),
+        "documents": ("doc_id", [(10, "Beta zeta. Alpha beta."), (11, "Gamma. Omega delta gamma. Gamma delta omega alpha."), (12, "None. Kappa!"), (13, "beta")]),
+    }
+    monkeypatch.setattr(P, "T", lambda s, d, name: s.createDataFrame(tables[name][1], f"{tables[name][0]} long, text string"))
+    got = {(r.claim_id, r.doc_id, r["at"], r.overlap) for r in P.best_overlap(spark, "").collect()}
+    assert got == {(1000, 10, 1, 1.0), (1000, 11, 2, 0.5), (1000, 13, 0, 0.5), (2000, 11, 2, 0.666667), (3000, 12, 1, 1.0)}
